@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY, _EPS, _STEPS = 1e-300, 1e-15, 10_000
 
@@ -85,12 +86,12 @@ def _optional(x):
     return None if pd.isna(x) else x
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(_optional(a), _optional(b)) for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [chi_square_p(_optional(a), _optional(b)) for a, b in zip(statistic, dof)], dtype="float64"

@@ -17,14 +17,13 @@ def corr_with_flag(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
 
     One aggregation for all columns. Columns without variance are left out.
     """
-    y = F.col(flag).cast("double")
     aggs, entries = [], []
     for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.corr(y, x).alias(f"r_{c}"),
-            F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{c}"),
-        ]
+        x, y = F.col(c).cast("double"), F.col(flag).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        # the built-in corr divides by zero on a constant column in ANSI mode
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        aggs += [F.try_divide(F.covar_pop(x, y), spread).alias(f"r_{c}"), F.count(x).alias(f"n_{c}")]
         entries.append(
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"r_{c}").alias("r"), F.col(f"n_{c}").alias("n")

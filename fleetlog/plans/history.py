@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions.numeric import day_number
 from fleetlog.operators import changes, polls, presence, rollup, timeline
+from fleetlog.operators.sequence import hot_keys
 from fleetlog.plans import adapters as a
 from fleetlog.plans.registry import query
 
@@ -362,16 +363,23 @@ tr AS (
   QUALIFY (state = 0 AND lead(state) OVER w = 1) OR (state = 1 AND lag(state) OVER w = 0))"""
 
 
-def _state_log(spark, sf):
+def _hot_users(spark, sf):
+    """Counted once on the plain events for a chain of operators on users."""
+    return hot_keys(a.observations(spark, sf), ["user_id"], "ts")
+
+
+def _state_log(spark, sf, hot):
     st = a.observations(spark, sf).select(
         "user_id", (F.col("event_type") == "purchase").cast("long").alias("state"), "ts", "event_id"
     )
-    return timeline.drop_consecutives(st, ["user_id"], ["state"], ["ts", "event_id"])
+    return timeline.drop_consecutives(st, ["user_id"], ["state"], ["ts", "event_id"], hot=hot)
 
 
 @query("transition_rows", _STATES + " SELECT * FROM tr")
 def transition_rows(spark, sf):
-    return timeline.transition_rows(_state_log(spark, sf), "user_id", "state", ["ts", "event_id"])
+    hot = _hot_users(spark, sf)
+    log = _state_log(spark, sf, hot)
+    return timeline.transition_rows(log, "user_id", "state", ["ts", "event_id"], hot=hot)
 
 
 @query("first_per_state", _STATES + " SELECT user_id, state, min(ts) AS ts FROM tr GROUP BY user_id, state")

@@ -87,14 +87,18 @@ class PollStore:
         part = self._part("state", table, schema, "upto")
         return part.filter(F.col("upto") == at.closed_upto).drop("upto")
 
+    def save_state(self, table: str, at: Commit, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/state/{table}/upto={at.batch}")
+
     def compact(
-        self, table: str, schema: T.StructType, at: Commit, state: DataFrame | None = None, files: int = 1
+        self, table: str, schema: T.StructType, at: Commit, state: DataFrame | None = None
     ) -> None:
         """Merge the open rows up to a commit into few files; keep the state beside them.
 
         Becomes visible with the next commit whose closed_upto is at.batch.
         """
         rows = self.open_rows(table, schema, at)
-        rows.repartition(files).write.mode("overwrite").parquet(f"{self.root}/closed/{table}/upto={at.batch}")
+        # rebalance lets adaptive execution pick the number of files from the size
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/closed/{table}/upto={at.batch}")
         if state is not None:
-            state.write.mode("overwrite").parquet(f"{self.root}/state/{table}/upto={at.batch}")
+            self.save_state(table, at, state)
