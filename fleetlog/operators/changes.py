@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.operators.sequence import HOT_ROWS, null_safe_on, with_neighbours
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys, null_safe_on, with_neighbours
 
 
 def _known_keys(df: DataFrame, key: Sequence[str], how: str, other: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def change_log(
     state: DataFrame | None = None,
     keep: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Rows whose values differ from the key's values before them.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.operators.changes import _known_keys
 from fleetlog.operators.polls import poll_index, poll_neighbours
-from fleetlog.operators.sequence import HOT_ROWS, with_neighbours
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys, with_neighbours
 
 
 def presence_log(
@@ -16,7 +16,7 @@ def presence_log(
     ts: str = "timestamp",
     polls: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Log of (key, online, ts) from the polls in which each key was listed.
 

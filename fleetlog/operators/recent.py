@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fleetlog.operators.sequence import HOT_ROWS
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys
 from fleetlog.operators.timeline import drop_consecutives
 
 
@@ -19,7 +19,7 @@ def recent_distinct(
     order: Sequence[str],
     maxlen: int,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Queue (oldest first) after all values of a key in order.
 

@@ -1,29 +1,26 @@
 """Previous, next and last-known values per key, without one task per hot key.
 
 A window over ``partitionBy(key)`` puts all rows of a key into one task. Where a
-key may hold a large share of the data that task never ends, so the helpers here
-cut the time-line of such keys into segments, run the window per (key, segment)
-and hand the edge rows from segment to segment:
-
-* ``hot_keys`` counts rows per key (map-side combined) and keeps keys above a
-  limit. The limit is at least ``rows / MAX_HOT``, so however large the data, there
-  are at most MAX_HOT hot keys and 2 * MAX_HOT segments; both side tables are
-  therefore safe to broadcast. All other keys have the single segment 0.
-* the window runs over (key, segment): one shuffle of the rows, as without it.
-* edge rows of hot segments are joined back by broadcast. When no key is hot both
-  side tables are empty and adaptive execution drops the joins.
-
-Counts, bounds and segments are exact functions of the data, so a recomputed
-stage sees the same segments. Any table of hot keys gives right results, so a chain
-of operators on one key computes it once, from the plainest input, and passes it on.
+key may hold a large share of the data that task never ends. ``hot_keys`` therefore
+counts the rows per key in one pass over key and time only (map-side combined). If no
+key is too large for a task, and only then, the plain window is used. Otherwise the
+time-lines of the hot keys are cut into segments, the window runs per (key, segment),
+still with a single shuffle of the rows, and the edge rows of the segments are handed
+on by a join.
+
+At most MAX_HOT keys are cut, into at most 2 * MAX_HOT segments; keys beyond these
+hold under 1/MAX_HOT of the rows each. The side tables thus have a fixed bound and can
+be broadcast however large the data is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 5_000_000
 MAX_HOT = 100_000
@@ -39,21 +36,37 @@ def null_safe_on(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return cond
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Hot keys with the start and width of their segments; no frame if there are none."""
+
+    frame: DataFrame | None = None
+
+
 def hot_keys(
     df: DataFrame, key: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
-) -> DataFrame:
-    """Keys with too many rows for one task, with the width of their segments."""
+) -> HotKeys:
+    """Find the keys with too many rows for one task.
+
+    Runs one aggregation and takes its largest groups, at most max_hot rows.
+    """
     counts = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_from"), F.max(ts).alias("_to")
     )
-    total = counts.agg(F.sum("_rows")).scalar()
-    limit = F.greatest(F.lit(float(hot_rows)), total / F.lit(max_hot))
-    width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_rows") / limit))
-    return counts.filter(F.col("_rows") > limit).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in key],
-        "_from",
-        F.greatest(F.lit(1), width).alias("_width"),
+    found = counts.filter(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(max_hot).collect()
+    if not found:
+        return HotKeys()
+    per_segment = max(hot_rows, sum(r["_rows"] for r in found) // max_hot + 1)
+    rows = []
+    for r in found:
+        parts = -(-r["_rows"] // per_segment)
+        span = r["_to"] - r["_from"] + 1
+        rows.append((*[r[k] for k in key], r["_from"], max(1, -(-span // parts))))
+    schema = T.StructType(
+        [T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in key]
+        + [T.StructField("_from", T.LongType()), T.StructField("_width", T.LongType())]
     )
+    return HotKeys(df.sparkSession.createDataFrame(rows, schema))
 
 
 def _segment(df: DataFrame, hot: DataFrame, key: Sequence[str], ts: str, how: str) -> DataFrame:
@@ -82,20 +95,26 @@ def with_neighbours(
     prev: Sequence[str] = (),
     next: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``_prev`` / ``_next``: structs with the named columns of the adjacent rows.
 
     order starts with a whole-number time column; its further columns break ties.
-    The struct is null where there is no such row.
+    The struct is null where there is no such row. hot is what ``hot_keys`` found for
+    this or any other table with the same keys; it is looked up if not given.
     """
     ts = order[0]
-    hot = hot_keys(df, key, ts, hot_rows) if hot is None else hot
+    hot = hot or hot_keys(df, key, ts, hot_rows)
+    if hot.frame is None:
+        window = Window.partitionBy(*key).orderBy(*order)
+        added = [F.lag(F.struct(*prev)).over(window).alias("_prev")] if prev else []
+        added += [F.lead(F.struct(*next)).over(window).alias("_next")] if next else []
+        return df.select("*", *added)
+
     window = Window.partitionBy(*key, _SEG).orderBy(*order)
     over_segments = Window.partitionBy(*key).orderBy(_SEG)
-    rows = _segment(df, hot, key, ts, "left")
-    edge = _segment(df, hot, key, ts, "inner").groupBy(*key, _SEG)
-
+    rows = _segment(df, hot.frame, key, ts, "left")
+    edge = _segment(df, hot.frame, key, ts, "inner").groupBy(*key, _SEG)
     inner, tails, handed = [], [], []
     if prev:
         inner.append(F.lag(F.struct(*prev)).over(window).alias("_prev"))
@@ -120,19 +139,22 @@ def with_last_known(
     order: Sequence[str],
     cols: Sequence[str],
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Forward fill: replace nulls of cols by the last known value of the key."""
     ts = order[0]
-    hot = hot_keys(df, key, ts, hot_rows) if hot is None else hot
+    hot = hot or hot_keys(df, key, ts, hot_rows)
+    split = [*key] if hot.frame is None else [*key, _SEG]
     so_far = (
-        Window.partitionBy(*key, _SEG).orderBy(*order)
+        Window.partitionBy(*split).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*key).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    edges = _segment(df, hot, key, ts, "inner").groupBy(*key, _SEG).agg(
+    known = {c: F.last(c, ignorenulls=True).over(so_far) for c in cols}
+    if hot.frame is None:
+        return df.select(*[known[c].alias(c) if c in known else F.col(c) for c in df.columns])
+
+    before = Window.partitionBy(*key).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    edges = _segment(df, hot.frame, key, ts, "inner").groupBy(*key, _SEG).agg(
         *[
             F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_tail_{c}")
             for c in cols
@@ -142,8 +164,8 @@ def with_last_known(
         *key, _SEG,
         *[F.last(f"_tail_{c}", ignorenulls=True).over(before).alias(f"_edge_{c}") for c in cols],
     )
-    rows = _segment(df, hot, key, ts, "left").select(
-        "*", *[F.last(c, ignorenulls=True).over(so_far).alias(f"_known_{c}") for c in cols]
+    rows = _segment(df, hot.frame, key, ts, "left").select(
+        "*", *[known[c].alias(f"_known_{c}") for c in cols]
     )
     out = _join_edges(rows, edges, key)
     filled = {c: F.coalesce(f"_known_{c}", f"_edge_{c}") for c in cols}

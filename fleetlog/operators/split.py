@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.operators.sequence import HOT_ROWS, with_neighbours
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys, with_neighbours
 
 
 def size_counts(
@@ -120,7 +120,7 @@ def group_reduce(df: DataFrame, key: str, aggregates: dict[str, Column]) -> Data
 
 def is_sorted_by_key(
     df: DataFrame, key: str, value: str, order: Sequence[str], hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Per key: does value never fall along order?"""
     seq = with_neighbours(

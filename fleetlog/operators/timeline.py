@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from fleetlog.functions.numeric import day_number, epoch_to_date
 from fleetlog.operators.changes import change_log
 from fleetlog.operators.polls import poll_index, poll_neighbours
-from fleetlog.operators.sequence import HOT_ROWS, hot_keys, with_last_known, with_neighbours
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys, hot_keys, with_last_known, with_neighbours
 
 
 def drop_consecutives(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], order: Sequence[str],
-    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Rows where any of cols differs from the key's previous row; all columns stay."""
     return change_log(df, key, cols, order, keep=df.columns, hot_rows=hot_rows, hot=hot).select(*df.columns)
@@ -24,7 +24,7 @@ def drop_consecutives(
 
 def staircase(
     df: DataFrame, key: str, col: str, order: Sequence[str], hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Points of the step plot: each row, and the old value one second before it."""
     ts = order[0]
@@ -39,7 +39,7 @@ def staircase(
 
 def value_intervals(
     log: DataFrame, key: str, cols: Sequence[str], ts: str, hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """[ts, next_ts) stretches in which a key's values hold; the last one is open (null)."""
     seq = with_neighbours(log.select(key, *cols, ts), [key], [ts], next=[ts], hot_rows=hot_rows, hot=hot)
@@ -72,7 +72,7 @@ def densify(
     cols: Sequence[str],
     polls: DataFrame,
     ts: str = "timestamp",
-    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Values of every key at every poll; null before the key's first row.
 
@@ -97,14 +97,14 @@ def densify_wide(dense: DataFrame, key: str, col: str, keys: Sequence, ts: str =
     return dense.groupBy(ts).pivot(key, list(keys)).agg(F.first(col, ignorenulls=True))
 
 
-def _hot_of(logs: dict[str, DataFrame], key: str, ts: str, hot_rows: int) -> DataFrame:
+def _hot_of(logs: dict[str, DataFrame], key: str, ts: str, hot_rows: int) -> HotKeys:
     rows = reduce(DataFrame.union, [df.select(key, ts) for df in logs.values()])
     return hot_keys(rows, [key], ts, hot_rows)
 
 
 def align_changes(
     logs: dict[str, DataFrame], key: str, ts: str = "timestamp", hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """State of several logs at every time one of them changes.
 
@@ -119,23 +119,23 @@ def align_changes(
     merged = reduce(DataFrame.unionByName, parts).groupBy(key, ts).agg(
         *[F.max(c).alias(c) for c in types]
     )
-    hot = _hot_of(logs, key, ts, hot_rows) if hot is None else hot
+    hot = hot or _hot_of(logs, key, ts, hot_rows)
     return with_last_known(merged, [key], [ts], list(types), hot_rows=hot_rows, hot=hot)
 
 
 def asof_align(
     logs: dict[str, DataFrame], key: str, polls: DataFrame, ts: str = "timestamp",
-    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Last known value of each log per key and poll, from the key's first change on."""
-    hot = _hot_of(logs, key, ts, hot_rows) if hot is None else hot
+    hot = hot or _hot_of(logs, key, ts, hot_rows)
     aligned = align_changes(logs, key, ts, hot_rows, hot)
     return densify(aligned, key, list(logs), polls, ts, hot_rows, hot).filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in logs]))
 
 
 def asof_align_distinct(
     logs: dict[str, DataFrame], key: str, required: str, ts: str = "timestamp",
-    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """First time at which each key shows each combination of values.
 
@@ -216,7 +216,7 @@ def gap_null_rows(
 
 def transition_rows(
     log: DataFrame, key: str, state: str, order: Sequence[str], before=0, after=1,
-    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Rows in state ``before`` followed by ``after``, and the rows that follow them.
 

@@ -46,6 +46,7 @@ def run_updates(spark, sf) -> tuple[PollStore, object]:
     """Bring all tables up to date in a few batches of polls, as a backlog would."""
     rows = poll_rows(spark, sf)
     store = PollStore(spark, new_run_dir(spark, "tables"))
+    update.create_tables(store, rows.schema, EVENTS_FLEET)
     ends = first_last(rows, "ts").first()
     width = (ends["timespan"] + BATCHES) // BATCHES
     for i in range(BATCHES):

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
-_COMMIT = "batch long, last_ts long, closed_upto long, closed_ts long"
+_COMMIT = "batch long, last_ts long, closed_upto long"
+# what a table consists of, and the folder number of each part
+_KINDS = {"open": "batch", "closed": "upto", "state": "upto"}
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,6 @@ class Commit:
     batch: int = -1
     last_ts: int = 0
     closed_upto: int = -1
-    closed_ts: int = 0
 
 
 class PollStore:
@@ -33,50 +33,50 @@ class PollStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # -- commits
-    def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_COMMIT).parquet(f"{self.root}/commits")
-        except AnalysisException:
-            return None
+    def create(self, schemas: dict[str, T.StructType]) -> "PollStore":
+        """Lay out empty tables; leaves those that exist alone."""
+        for table, schema in schemas.items():
+            empty = self.spark.createDataFrame([], schema)
+            for kind, number in _KINDS.items():
+                empty.write.mode("ignore").parquet(f"{self.root}/{kind}/{table}/{number}=-1")
+        self._write_commit(Commit(), "ignore")
+        return self
 
+    # -- commits
     def last_commit(self, before: int | None = None) -> Commit:
         """Newest commit, or the newest before a batch that is being replayed."""
-        commits = self._commits()
-        if commits is None:
-            return Commit()
+        commits = self.spark.read.schema(_COMMIT).parquet(f"{self.root}/commits")
         if before is not None:
             commits = commits.filter(F.col("batch") < before)
         row = commits.agg(F.max_by(F.struct("*"), "batch").alias("c")).first()["c"]
-        return Commit(**row.asDict()) if row else Commit()
+        return Commit(**row.asDict())
 
-    def commit(self, entry: Commit) -> None:
+    def _write_commit(self, entry: Commit, mode: str) -> None:
         row = self.spark.createDataFrame(
-            [(entry.batch, entry.last_ts, entry.closed_upto, entry.closed_ts)],
-            "batch long, last_ts long, closed_upto long, closed_ts long",
-        ).coalesce(1)
-        row.drop("batch").write.mode("overwrite").parquet(f"{self.root}/commits/batch={entry.batch}")
+            [(entry.last_ts, entry.closed_upto)], "last_ts long, closed_upto long"
+        )
+        row.coalesce(1).write.mode(mode).parquet(f"{self.root}/commits/batch={entry.batch}")
+
+    def commit(self, entry: Commit) -> None:
+        self._write_commit(entry, "overwrite")
 
     # -- rows
     def write(self, table: str, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/open/{table}/batch={batch}")
 
-    def _part(self, kind: str, table: str, schema: T.StructType, number: str) -> DataFrame:
-        typed = T.StructType(schema.fields + [T.StructField(number, T.LongType())])
-        try:
-            return self.spark.read.schema(typed).parquet(f"{self.root}/{kind}/{table}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], typed)
+    def _part(self, kind: str, table: str, schema: T.StructType) -> DataFrame:
+        typed = T.StructType(schema.fields + [T.StructField(_KINDS[kind], T.LongType())])
+        return self.spark.read.schema(typed).parquet(f"{self.root}/{kind}/{table}")
 
     def open_rows(self, table: str, schema: T.StructType, at: Commit) -> DataFrame:
         """Rows since the last compaction."""
-        part = self._part("open", table, schema, "batch")
+        part = self._part("open", table, schema)
         return part.filter((F.col("batch") > at.closed_upto) & (F.col("batch") <= at.batch)).drop("batch")
 
     def read(self, table: str, schema: T.StructType, at: Commit | None = None) -> DataFrame:
         """All committed rows of a table."""
         at = at or self.last_commit()
-        closed = self._part("closed", table, schema, "upto")
+        closed = self._part("closed", table, schema)
         return (
             closed.filter(F.col("upto") <= at.closed_upto).drop("upto")
             .unionByName(self.open_rows(table, schema, at))
@@ -84,7 +84,7 @@ class PollStore:
 
     def state(self, table: str, schema: T.StructType, at: Commit) -> DataFrame:
         """State written by the last compaction."""
-        part = self._part("state", table, schema, "upto")
+        part = self._part("state", table, schema)
         return part.filter(F.col("upto") == at.closed_upto).drop("upto")
 
     def save_state(self, table: str, at: Commit, rows: DataFrame) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlog.operators.normalize import normalize
 from fleetlog.sources import payload
 from fleetlog.sources.store import PollStore
-from fleetlog.streaming.update import FleetTables, update_all
+from fleetlog.streaming.update import FleetTables, create_tables, update_all
 
 POLL_SECONDS = 53
 
@@ -43,13 +43,14 @@ def start_ingest(
     """
     spec = spec or FleetTables()
     store = PollStore(spark, root)
+    payloads = payload.stream_payloads(spark, landing, files_per_batch, offer)
+    create_tables(store, normalize(payload.explode_offers(payloads)).schema, spec)
 
     def on_batch(df: DataFrame, batch: int) -> None:
         ingest_batch(store, df, batch, spec)
 
     writer = (
-        payload.stream_payloads(spark, landing, files_per_batch, offer)
-        .writeStream.foreachBatch(on_batch)
+        payloads.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
     )
     if available_now:

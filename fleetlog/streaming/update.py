@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from fleetlog import schema
 from fleetlog.functions.numeric import period_end
 from fleetlog.operators import changes, presence, rollup
+from fleetlog.operators.sequence import HotKeys, hot_keys
 from fleetlog.sources.store import Commit, PollStore
 
 
@@ -55,6 +56,17 @@ class FleetTables:
         return out
 
 
+REJECTS = T.StructType(
+    [T.StructField("arrived", T.LongType()), T.StructField("source", T.StringType()),
+     T.StructField("reason", T.StringType())]
+)
+
+
+def create_tables(store: PollStore, rows: T.StructType, spec: FleetTables) -> None:
+    """Lay out all tables for a listing of the given schema."""
+    store.create({**spec.schemas(rows), "rejects": REJECTS})
+
+
 def current_state(store: PollStore, table: str, typed: T.StructType, at: Commit, key: str, ts: str) -> DataFrame:
     """Latest row per key: the state of the last compaction brought forward by the open rows."""
     cols = [f.name for f in typed.fields if f.name != key]
@@ -75,6 +87,7 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
         last = rows.agg(F.max(ts)).first()[0]
         if last is None:
             return {}
+        hot = hot_keys(rows, [key], ts)
 
         def state(table: str) -> DataFrame:
             return current_state(store, table, typed[table], at, key, ts)
@@ -88,9 +101,9 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
         added["host_map"] = new_keys.groupBy(key).agg(
             F.min_by(F.struct(spec.map_value, ts), F.struct(ts, *spec.tie)).alias("_m")
         ).select(key, "_m.*")
-        added["online"] = _presence(rows, state("online"), at.last_ts, key, ts)
+        added["online"] = _presence(rows, state("online"), at.last_ts, key, ts, hot)
         for name, cols in spec.logs.items():
-            added[name] = changes.change_log(rows, [key], cols, [ts, *spec.tie], state(name))
+            added[name] = changes.change_log(rows, [key], cols, [ts, *spec.tie], state(name), hot=hot)
         added["avg_buffer"] = rows.select(key, *spec.averages, ts)
 
         open_end = _period_end(at.last_ts, spec.period)
@@ -111,10 +124,10 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
             "counts", batch, store.spark.createDataFrame([(n, c) for n, c in counts.items()], typed["counts"]).coalesce(1)
         )
 
-        done = Commit(batch, last, at.closed_upto, at.closed_ts)
+        done = Commit(batch, last, at.closed_upto)
         if closing:
             _compact(store, done, typed, spec)
-            done = Commit(batch, last, batch, last)
+            done = Commit(batch, last, batch)
         store.commit(done)
         return counts
     finally:
@@ -125,7 +138,7 @@ def _period_end(ts: int, period: int) -> int:
     return -(-ts // period) * period
 
 
-def _presence(rows: DataFrame, state: DataFrame, last_ts: int, key: str, ts: str) -> DataFrame:
+def _presence(rows: DataFrame, state: DataFrame, last_ts: int, key: str, ts: str, hot: HotKeys) -> DataFrame:
     """Presence events of new polls. Keys online so far count as seen in the last poll."""
     seen = rows.select(key, ts)
     polls = seen.select(ts).distinct()
@@ -133,7 +146,7 @@ def _presence(rows: DataFrame, state: DataFrame, last_ts: int, key: str, ts: str
         still = state.filter("online = 1").select(key, F.lit(last_ts).cast("long").alias(ts))
         seen = seen.unionByName(still)
         polls = polls.unionByName(rows.sparkSession.range(last_ts, last_ts + 1).toDF(ts))
-    return presence.presence_log(seen, key, ts, polls).filter(F.col(ts) > last_ts)
+    return presence.presence_log(seen, key, ts, polls, hot=hot).filter(F.col(ts) > last_ts)
 
 
 def _compact(store: PollStore, done: Commit, typed: dict[str, T.StructType], spec: FleetTables) -> None:
