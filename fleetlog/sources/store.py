@@ -10,7 +10,10 @@ state at N; later reads of the state start from there and not from the beginning
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,12 @@ _COMMIT = "batch long, last_ts long, closed_upto long"
 _KINDS = {"open": "batch", "closed": "upto", "state": "upto"}
 
 
+def in_parallel(jobs: Sequence[Callable], at_once: int = 4) -> list:
+    """Run independent Spark jobs side by side; small ones leave most cores idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 @dataclass(frozen=True)
 class Commit:
     batch: int = -1
@@ -35,10 +44,15 @@ class PollStore:
 
     def create(self, schemas: dict[str, T.StructType]) -> "PollStore":
         """Lay out empty tables; leaves those that exist alone."""
-        for table, schema in schemas.items():
-            empty = self.spark.createDataFrame([], schema)
-            for kind, number in _KINDS.items():
-                empty.write.mode("ignore").parquet(f"{self.root}/{kind}/{table}/{number}=-1")
+
+        def lay_out(part: tuple[str, str]) -> None:
+            (table, kind), typed = part, schemas[part[0]]
+            empty = self.spark.range(0).select(
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in typed.fields]
+            )
+            empty.write.mode("ignore").parquet(f"{self.root}/{kind}/{table}/{_KINDS[kind]}=-1")
+
+        in_parallel([partial(lay_out, (table, kind)) for table in schemas for kind in _KINDS])
         self._write_commit(Commit(), "ignore")
         return self
 
@@ -52,10 +66,11 @@ class PollStore:
         return Commit(**row.asDict())
 
     def _write_commit(self, entry: Commit, mode: str) -> None:
-        row = self.spark.createDataFrame(
-            [(entry.last_ts, entry.closed_upto)], "last_ts long, closed_upto long"
+        row = self.spark.range(1, numPartitions=1).select(
+            F.lit(entry.last_ts).cast("long").alias("last_ts"),
+            F.lit(entry.closed_upto).cast("long").alias("closed_upto"),
         )
-        row.coalesce(1).write.mode(mode).parquet(f"{self.root}/commits/batch={entry.batch}")
+        row.write.mode(mode).parquet(f"{self.root}/commits/batch={entry.batch}")
 
     def commit(self, entry: Commit) -> None:
         self._write_commit(entry, "overwrite")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from fleetlog import schema
 from fleetlog.functions.numeric import period_end
 from fleetlog.operators import changes, presence, rollup
 from fleetlog.operators.sequence import HotKeys, hot_keys
-from fleetlog.sources.store import Commit, PollStore
+from fleetlog.sources.store import Commit, PollStore, in_parallel
 
 
 @dataclass(frozen=True)
@@ -115,14 +116,15 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
             both = pending.unionByName(added["avg_buffer"])
             added["avg"] = rollup.period_avg_std(both, key, list(spec.averages), ts, spec.period)
 
-        counts = {}
-        for name, df in added.items():
+        def write(name: str) -> tuple[str, int]:
             seen = Observation()
-            store.write(name, batch, df.select(typed[name].names).observe(seen, F.count(F.lit(1)).alias("n")))
-            counts[name] = seen.get["n"]
-        store.write(
-            "counts", batch, store.spark.createDataFrame([(n, c) for n, c in counts.items()], typed["counts"]).coalesce(1)
-        )
+            out = added[name].select(typed[name].names).observe(seen, F.count(F.lit(1)).alias("n"))
+            store.write(name, batch, out)
+            return name, seen.get["n"]
+
+        counts = dict(in_parallel([partial(write, name) for name in added]))
+        rows_added = [F.struct(F.lit(n).alias("table_name"), F.lit(c).cast("long").alias("n_rows")) for n, c in counts.items()]
+        store.write("counts", batch, store.spark.range(1).select(F.inline(F.array(*rows_added))))
 
         done = Commit(batch, last, at.closed_upto)
         if closing:
@@ -152,17 +154,20 @@ def _presence(rows: DataFrame, state: DataFrame, last_ts: int, key: str, ts: str
 def _compact(store: PollStore, done: Commit, typed: dict[str, T.StructType], spec: FleetTables) -> None:
     """After a roll-up: merge the period's small files and keep each table's state."""
     key, ts = spec.key, spec.ts
-    for table in ("host_map", "online", *spec.logs):
-        store.compact(table, typed[table], done, current_state(store, table, typed[table], done, key, ts))
-    for table in ("ts_idx", "avg", "counts"):
-        store.compact(table, typed[table], done)
+    keyed = ("host_map", "online", *spec.logs)
+    jobs = [
+        partial(store.compact, t, typed[t], done, current_state(store, t, typed[t], done, key, ts)) for t in keyed
+    ]
+    jobs += [partial(store.compact, t, typed[t], done) for t in ("ts_idx", "avg", "counts")]
+    jobs.append(partial(store.compact, "rejects", REJECTS, done))
     buffer = typed["avg_buffer"]
     still_open = (
         store.state("avg_buffer", buffer, done)
         .unionByName(store.open_rows("avg_buffer", buffer, done))
         .filter(period_end(F.col(ts), spec.period) == _period_end(done.last_ts, spec.period))
     )
-    store.save_state("avg_buffer", done, still_open)
+    jobs.append(partial(store.save_state, "avg_buffer", done, still_open))
+    in_parallel(jobs)
 
 
 def read_table(store: PollStore, table: str, rows: T.StructType, spec: FleetTables) -> DataFrame:
