@@ -16,6 +16,13 @@ CPU_NAME_RULES = [
     (r" with Radeon Graphics", ""),
 ]
 
+# Characters that count as white space at the ends of a string.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Country names that stand where a code is expected.
 COUNTRY_NAMES = {"Sweden": "SE"}
 # ---- end of fixed values ----------------------------------------------------
@@ -23,7 +30,7 @@ COUNTRY_NAMES = {"Sweden": "SE"}
 
 def strip(x: Column) -> Column:
     """Cut white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.trim(x.cast("string"), F.lit(WHITE_SPACE))
 
 
 def replace_in_order(x: Column, rules: list[tuple[str, str]]) -> Column:

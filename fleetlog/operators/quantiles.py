@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.operators.sequence import null_safe_on
+from fleetlog.operators.sequence import null_safe_on, small_side
 
 ACCURACY = 20_000
 
@@ -42,14 +42,13 @@ def exact_quantiles(
         *by, F.col(value).cast("double").alias("_v")
     )
     stats = src.groupBy(*by).agg(*_brackets("_v", probs, accuracy))
+    bracket = F.struct("_n", "_min", "_max", "_approx").alias("_b")
     if by:
-        side = stats.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.struct(
-            "_n", "_min", "_max", "_approx").alias("_b"))
+        side = small_side(stats.select(*[F.col(c).alias(f"_by_{c}") for c in by], bracket))
         on = null_safe_on([src[c] for c in by], [side[f"_by_{c}"] for c in by])
         rows = src.join(side, on).select(*by, "_v", "_b")
     else:
-        one = stats.select(F.struct("_n", "_min", "_max", "_approx")).scalar()
-        rows = src.select("_v", one.alias("_b"))
+        rows = src.select("_v", stats.select(bracket).scalar().alias("_b"))
 
     k = len(probs)
     # few rows: the margin could be less than one rank, so take them all

@@ -2,14 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlog.operators.sequence import HOT_ROWS, HotKeys
+from fleetlog.operators.sequence import (
+    HOT_ROWS, SEGMENT, HotKeys, cut_segments, hot_keys, null_safe_on,
+)
 from fleetlog.operators.timeline import drop_consecutives
+from fleetlog.session import new_run_dir
+
+
+def _fold(groups: list[str], value: str, start: str | None, maxlen: int) -> Callable:
+    """Run the queue over rows sorted by group; one result per group.
+
+    Holds one batch and one queue, however long a group is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, queue, fields = None, [], None
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            types = [batch.schema.field(g).type for g in groups]
+            fields = pa.schema([*zip(groups, types), ("recent", pa.list_(batch.schema.field(value).type))])
+            starts = columns[start] if start else [()] * batch.num_rows
+            done = []
+            for group, v, first in zip(zip(*[columns[g] for g in groups]), columns[value], starts):
+                if group != current:
+                    if current is not None:
+                        done.append({**dict(zip(groups, current)), "recent": queue})
+                    current, queue = group, list(first)
+                if v not in queue:
+                    queue.append(v)
+                    if len(queue) > maxlen:
+                        del queue[0]
+            yield pa.RecordBatch.from_pylist(done, fields)
+        if current is not None:
+            yield pa.RecordBatch.from_pylist([{**dict(zip(groups, current)), "recent": queue}], fields)
+
+    return run
+
+
+def _run(rows: DataFrame, groups: list[str], value: str, order: Sequence[str], maxlen: int, start: str | None = None) -> DataFrame:
+    """Queues per group; rows of a group meet in one task, sorted, and stream through it."""
+    schema = T.StructType(
+        [T.StructField(g, rows.schema[g].dataType) for g in groups]
+        + [T.StructField("recent", T.ArrayType(rows.schema[value].dataType))]
+    )
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
+    return ordered.select(*groups, value, *([start] if start else [])).mapInArrow(
+        _fold(groups, value, start, maxlen), schema
+    )
+
+
+def _run_hot(
+    rows: DataFrame, hot: HotKeys, key: str, value: str, order: Sequence[str], maxlen: int
+) -> DataFrame:
+    """Queues of hot keys, segment by segment in parallel.
+
+    The queue a segment starts from is not known before the segment in front of it is
+    done. All segments first start empty; then each one whose start turns out to differ
+    from the end of its predecessor is run again, until none is left. The first segment
+    of a key is right from the outset and each round settles at least one more, so the
+    end is exact; queues that forget their start settle in two or three rounds. Starts
+    and ends are one small queue per segment, of which there is a fixed maximum.
+    """
+    spark = rows.sparkSession
+    path = new_run_dir(spark, "recent")
+    cut_segments(rows, hot.frame, [key], order[0], "inner").write.parquet(path)
+    stored = spark.read.parquet(path)
+    queue = T.ArrayType(rows.schema[value].dataType)
+    start_schema = T.StructType(
+        [T.StructField("_k", rows.schema[key].dataType), T.StructField("_s", T.LongType()), T.StructField("_start", queue)]
+    )
+    ends = {
+        (r[key], r[SEGMENT]): list(r["recent"])
+        for r in _run(stored, [key, SEGMENT], value, order, maxlen).collect()
+    }
+    chain = sorted(ends, key=lambda g: (g[0] is not None, 0 if g[0] is None else g[0], g[1]))
+    used = {g: [] for g in chain}
+    while True:
+        wanted = {b: ends[a] for a, b in zip(chain, chain[1:]) if a[0] == b[0]}
+        again = [(g[0], g[1], q) for g, q in wanted.items() if used[g] != q]
+        if not again:
+            break
+        used.update({(k, s): q for k, s, q in again})
+        side = F.broadcast(spark.createDataFrame(again, start_schema))
+        on = null_safe_on([stored[key], stored[SEGMENT]], [side["_k"], side["_s"]])
+        todo = stored.join(side, on).drop("_k", "_s")
+        for r in _run(todo, [key, SEGMENT], value, order, maxlen, "_start").collect():
+            ends[(r[key], r[SEGMENT])] = list(r["recent"])
+    last = {k: ends[(k, s)] for k, s in chain}
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("recent", queue)])
+    return spark.createDataFrame(list(last.items()), schema)
 
 
 def recent_distinct(
@@ -24,35 +112,15 @@ def recent_distinct(
     """Queue (oldest first) after all values of a key in order.
 
     A value not in the queue is appended; above maxlen the oldest leaves and may
-    come back later. Repeats in a row change nothing and are dropped first, without
-    a task per key. What is left is sorted per key and streamed: a task holds one
-    Arrow batch and one queue, never a whole group.
+    come back later. Repeats in a row change nothing and are dropped first.
     """
     src = df.select(*dict.fromkeys([key, value, *order]))
+    hot = hot or hot_keys(src, [key], order[0], hot_rows)
     rows = drop_consecutives(src, [key], [value], order, hot_rows, hot)
-    ordered = rows.repartition(key).sortWithinPartitions(key, *order).select(key, value)
-    schema = T.StructType(
-        [
-            T.StructField(key, df.schema[key].dataType),
-            T.StructField("recent", T.ArrayType(df.schema[value].dataType)),
-        ]
+    if hot.frame is None:
+        return _run(rows, [key], value, order, maxlen)
+    is_hot = null_safe_on([rows[key]], [hot.frame[f"_hot_{key}"]])
+    cold = rows.join(F.broadcast(hot.frame), is_hot, "left_anti")
+    return _run(cold, [key], value, order, maxlen).unionByName(
+        _run_hot(rows, hot, key, value, order, maxlen)
     )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, queue, started = None, [], False
-        for batch in batches:
-            done = []
-            for k, v in zip(batch[key].tolist(), batch[value].tolist()):
-                if not started or k != current:
-                    if started:
-                        done.append((current, queue))
-                    current, queue, started = k, [], True
-                if v not in queue:
-                    queue.append(v)
-                    if len(queue) > maxlen:
-                        del queue[0]
-            yield pd.DataFrame(done, columns=[key, "recent"])
-        if started:
-            yield pd.DataFrame([(current, queue)], columns=[key, "recent"])
-
-    return ordered.mapInPandas(fold, schema)

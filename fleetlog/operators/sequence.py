@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 HOT_ROWS = 5_000_000
 MAX_HOT = 100_000
 
-_SEG = "_segment"
+SEGMENT = "_segment"
 
 
 def null_safe_on(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -36,6 +36,17 @@ def null_safe_on(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return cond
 
 
+def small_side(df: DataFrame, max_rows: int = MAX_HOT) -> DataFrame:
+    """A join side for broadcast if it turns out small, else the frame itself.
+
+    Fetches at most max_rows + 1 rows; a small side is thereby computed only once.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Hot keys with the start and width of their segments; no frame if there are none."""
@@ -69,19 +80,20 @@ def hot_keys(
     return HotKeys(df.sparkSession.createDataFrame(rows, schema))
 
 
-def _segment(df: DataFrame, hot: DataFrame, key: Sequence[str], ts: str, how: str) -> DataFrame:
+def cut_segments(df: DataFrame, hot: DataFrame, key: Sequence[str], ts: str, how: str) -> DataFrame:
+    """Number the segments of hot keys; with a left join all other rows get segment 0."""
     on = null_safe_on([df[k] for k in key], [hot[f"_hot_{k}"] for k in key])
     number = F.floor((F.col(ts) - F.col("_from")) / F.col("_width"))
     return (
         df.join(F.broadcast(hot), on, how)
-        .withColumn(_SEG, F.coalesce(number, F.lit(0)).cast("long"))
+        .withColumn(SEGMENT, F.coalesce(number, F.lit(0)).cast("long"))
         .drop("_from", "_width", *[f"_hot_{k}" for k in key])
     )
 
 
 def _join_edges(df: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Attach what neighbouring segments hand over (bounded by the segment count)."""
-    names = [*key, _SEG]
+    names = [*key, SEGMENT]
     edges = edges.select(*[F.col(n).alias(f"_edge_{n}") for n in names],
                          *[c for c in edges.columns if c not in names])
     on = null_safe_on([df[n] for n in names], [edges[f"_edge_{n}"] for n in names])
@@ -111,10 +123,10 @@ def with_neighbours(
         added += [F.lead(F.struct(*next)).over(window).alias("_next")] if next else []
         return df.select("*", *added)
 
-    window = Window.partitionBy(*key, _SEG).orderBy(*order)
-    over_segments = Window.partitionBy(*key).orderBy(_SEG)
-    rows = _segment(df, hot.frame, key, ts, "left")
-    edge = _segment(df, hot.frame, key, ts, "inner").groupBy(*key, _SEG)
+    window = Window.partitionBy(*key, SEGMENT).orderBy(*order)
+    over_segments = Window.partitionBy(*key).orderBy(SEGMENT)
+    rows = cut_segments(df, hot.frame, key, ts, "left")
+    edge = cut_segments(df, hot.frame, key, ts, "inner").groupBy(*key, SEGMENT)
     inner, tails, handed = [], [], []
     if prev:
         inner.append(F.lag(F.struct(*prev)).over(window).alias("_prev"))
@@ -125,12 +137,12 @@ def with_neighbours(
         tails.append(F.min_by(F.struct(*next), F.struct(*order)).alias("_head"))
         handed.append(F.lead("_head").over(over_segments).alias("_next_edge"))
 
-    edges = edge.agg(*tails).select(*key, _SEG, *handed)
+    edges = edge.agg(*tails).select(*key, SEGMENT, *handed)
     out = _join_edges(rows.select("*", *inner), edges, key)
     for name, wanted in (("_prev", prev), ("_next", next)):
         if wanted:
             out = out.withColumn(name, F.coalesce(name, f"{name}_edge")).drop(f"{name}_edge")
-    return out.drop(_SEG)
+    return out.drop(SEGMENT)
 
 
 def with_last_known(
@@ -144,7 +156,7 @@ def with_last_known(
     """Forward fill: replace nulls of cols by the last known value of the key."""
     ts = order[0]
     hot = hot or hot_keys(df, key, ts, hot_rows)
-    split = [*key] if hot.frame is None else [*key, _SEG]
+    split = [*key] if hot.frame is None else [*key, SEGMENT]
     so_far = (
         Window.partitionBy(*split).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,18 +165,18 @@ def with_last_known(
     if hot.frame is None:
         return df.select(*[known[c].alias(c) if c in known else F.col(c) for c in df.columns])
 
-    before = Window.partitionBy(*key).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    edges = _segment(df, hot.frame, key, ts, "inner").groupBy(*key, _SEG).agg(
+    before = Window.partitionBy(*key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut_segments(df, hot.frame, key, ts, "inner").groupBy(*key, SEGMENT).agg(
         *[
             F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_tail_{c}")
             for c in cols
         ]
     )
     edges = edges.select(
-        *key, _SEG,
+        *key, SEGMENT,
         *[F.last(f"_tail_{c}", ignorenulls=True).over(before).alias(f"_edge_{c}") for c in cols],
     )
-    rows = _segment(df, hot.frame, key, ts, "left").select(
+    rows = cut_segments(df, hot.frame, key, ts, "left").select(
         "*", *[known[c].alias(f"_known_{c}") for c in cols]
     )
     out = _join_edges(rows, edges, key)

@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods beyond 8000 bytes of bytecode; wide projections
+    # run several times faster when split into smaller ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
