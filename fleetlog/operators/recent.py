@@ -72,7 +72,7 @@ def _run_hot(
     """
     spark = rows.sparkSession
     path = new_run_dir(spark, "recent")
-    cut_segments(rows, hot.frame, [key], order[0], "inner").write.parquet(path)
+    cut_segments(rows, hot, [key], order[0], "inner").write.parquet(path)
     stored = spark.read.parquet(path)
     queue = T.ArrayType(rows.schema[value].dataType)
     start_schema = T.StructType(
@@ -117,10 +117,10 @@ def recent_distinct(
     src = df.select(*dict.fromkeys([key, value, *order]))
     hot = hot or hot_keys(src, [key], order[0], hot_rows)
     rows = drop_consecutives(src, [key], [value], order, hot_rows, hot)
-    if hot.frame is None:
+    if not hot.levels:
         return _run(rows, [key], value, order, maxlen)
-    is_hot = null_safe_on([rows[key]], [hot.frame[f"_hot_{key}"]])
-    cold = rows.join(F.broadcast(hot.frame), is_hot, "left_anti")
+    is_hot = null_safe_on([rows[key]], [hot.levels[0][f"_hot_{key}"]])
+    cold = rows.join(F.broadcast(hot.levels[0]), is_hot, "left_anti")
     return _run(cold, [key], value, order, maxlen).unionByName(
         _run_hot(rows, hot, key, value, order, maxlen)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlog.operators import timeline
 from fleetlog.operators.polls import poll_neighbours
 from fleetlog.operators.recent import recent_distinct
-from fleetlog.operators.sequence import hot_keys, with_last_known, with_neighbours
+from fleetlog.operators.sequence import cut_segments, hot_keys, with_last_known, with_neighbours
 
 S = "k long, v long, ts long"
 
@@ -158,10 +158,10 @@ def skewed(spark):
 def test_hot_keys_are_bounded(skewed):
     found = hot_keys(skewed, ["k"], "ts", hot_rows=50)
     big = skewed.groupBy("k").count().filter("count > 50")
-    assert rows(found.frame, "_hot_k") == rows(big, "k") and rows(big.filter("k = 1"), "k") == [(1,)]
-    assert hot_keys(skewed, ["k"], "ts").frame is None
+    assert rows(found.levels[0], "_hot_k") == rows(big, "k") and rows(big.filter("k = 1"), "k") == [(1,)]
+    assert hot_keys(skewed, ["k"], "ts").levels == ()
     top = hot_keys(skewed, ["k"], "ts", hot_rows=1, max_hot=1)
-    assert [r["_hot_k"] for r in top.frame.collect()] == [1]
+    assert [r["_hot_k"] for r in top.levels[0].collect()] == [1]
 
 
 def test_neighbours_of_cut_keys(skewed):
@@ -185,6 +185,26 @@ def test_fill_of_cut_keys(skewed):
 def test_cut_windows_are_spread(spark):
     """The largest window group of a hot key stays near the limit."""
     df = spark.range(10_000).select(F.lit(1).alias("k"), F.col("id").alias("ts"))
-    hot = hot_keys(df, ["k"], "ts", hot_rows=500).frame.first()
+    hot = hot_keys(df, ["k"], "ts", hot_rows=500).levels[0].first()
     groups = df.groupBy(F.floor((F.col("ts") - hot["_from"]) / hot["_width"])).count()
     assert groups.count() == 20 and groups.agg(F.max("count")).first()[0] == 500
+
+
+def test_bursts_are_cut_again(spark):
+    """Nine tenths of a key's rows fall into a hundredth of its time."""
+    ts = F.when(F.col("id") < 9000, 500_000 + F.col("id")).otherwise((F.col("id") - 9000) * 1000)
+    df = spark.range(10_000).select(F.lit(1).alias("k"), ts.alias("ts"), (F.col("id") % 3).alias("v"))
+    hot = hot_keys(df, ["k"], "ts", hot_rows=500)
+    assert len(hot.levels) > 1
+    groups = cut_segments(df, hot, ["k"], "ts", "left").groupBy("_segment").count()
+    assert groups.agg(F.max("count")).first()[0] <= 1000
+    args = dict(key=["k"], order=["ts"], prev=["v"], next=["ts"])
+    plain, cut = with_neighbours(df, **args), with_neighbours(df, hot=hot, **args)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_rows_of_one_second_stay_together(spark):
+    df = spark.range(1000).select(F.lit(1).alias("k"), (F.floor(F.col("id") / 900) * 5).alias("ts"), F.col("id").alias("tie"))
+    plain = with_neighbours(df, ["k"], ["ts", "tie"], prev=["tie"])
+    cut = with_neighbours(df, ["k"], ["ts", "tie"], prev=["tie"], hot_rows=50)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
