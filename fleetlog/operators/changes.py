@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fleetlog.operators.sequence import HOT_ROWS, HotKeys, null_safe_on, with_neighbours
 
 
-def _known_keys(df: DataFrame, key: Sequence[str], how: str, other: DataFrame) -> DataFrame:
+def match_keys(df: DataFrame, key: Sequence[str], how: str, other: DataFrame) -> DataFrame:
+    """Semi or anti join on the key, null-safely."""
     other = other.select(*[F.col(k).alias(f"_o_{k}") for k in key])
     on = null_safe_on([df[k] for k in key], [other[f"_o_{k}"] for k in key])
     return df.join(other, on, how)
@@ -25,7 +26,7 @@ def _known_keys(df: DataFrame, key: Sequence[str], how: str, other: DataFrame) -
 def distinct_index(df: DataFrame, col: str, known: DataFrame | None = None) -> DataFrame:
     """Distinct values of a column, without those already known."""
     values = df.select(col).distinct()
-    return values if known is None else _known_keys(values, [col], "left_anti", known)
+    return values if known is None else match_keys(values, [col], "left_anti", known)
 
 
 def first_wins_map(
@@ -33,7 +34,7 @@ def first_wins_map(
 ) -> DataFrame:
     """First value seen per key; later values never replace it."""
     if known is not None:
-        df = _known_keys(df, [key], "left_anti", known)
+        df = match_keys(df, [key], "left_anti", known)
     return df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
@@ -42,7 +43,7 @@ def first_seen_rows(
 ) -> DataFrame:
     """Rows of the poll in which a key first appears (all of them, if several)."""
     if known is not None:
-        df = _known_keys(df, [key], "left_anti", known)
+        df = match_keys(df, [key], "left_anti", known)
     first = df.groupBy(key).agg(F.min(ts).alias("_ts")).withColumnRenamed(key, "_key")
     on = df[key].eqNullSafe(first["_key"]) & df[ts].eqNullSafe(first["_ts"])
     return df.join(first, on, "left_semi").select(key, *cols, ts)
@@ -98,7 +99,7 @@ def latest_snapshot(
 
 def upsert(state: DataFrame, changed: DataFrame, key: Sequence[str]) -> DataFrame:
     """State with the rows of changed (one per key) put in place."""
-    kept = _known_keys(state, key, "left_anti", changed)
+    kept = match_keys(state, key, "left_anti", changed)
     return kept.unionByName(changed.select(*state.columns))
 
 
@@ -110,10 +111,10 @@ def child_set_snapshot(
     Children that vanished from a parent present in the poll are removed; children
     are added only to parents that have none left.
     """
-    listed = _known_keys(state, [parent], "left_semi", poll)
-    absent = _known_keys(state, [parent], "left_anti", poll)
-    kept = absent.unionByName(_known_keys(listed, [child], "left_semi", poll))
-    added = _known_keys(poll, [parent], "left_anti", kept).select(*state.columns)
+    listed = match_keys(state, [parent], "left_semi", poll)
+    absent = match_keys(state, [parent], "left_anti", poll)
+    kept = absent.unionByName(match_keys(listed, [child], "left_semi", poll))
+    added = match_keys(poll, [parent], "left_anti", kept).select(*state.columns)
     return kept.unionByName(added)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.operators.changes import _known_keys
+from fleetlog.operators.changes import match_keys
 from fleetlog.operators.polls import poll_index, poll_neighbours
 from fleetlog.operators.sequence import HOT_ROWS, HotKeys, with_neighbours
 
@@ -61,11 +61,11 @@ def presence_in_poll(
     now = poll.agg(F.max(ts)).scalar()
     online = state.filter("online = 1")
     offline = state.filter("online = 0")
-    came = _known_keys(listed, [key], "left_anti", online).select(
+    came = match_keys(listed, [key], "left_anti", online).select(
         key, F.lit(1).cast("long").alias("online"), ts
     )
-    gone = _known_keys(registry.select(key), [key], "left_anti", listed)
-    gone = _known_keys(gone, [key], "left_anti", offline).select(
+    gone = match_keys(registry.select(key), [key], "left_anti", listed)
+    gone = match_keys(gone, [key], "left_anti", offline).select(
         key, F.lit(0).cast("long").alias("online"), now.alias(ts)
     )
     # a poll without rows says nothing about who is offline

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlog.functions.numeric import day_number
 from fleetlog.operators import changes, polls, presence, rollup, timeline
 from fleetlog.operators.sequence import hot_keys
 from fleetlog.plans import adapters as a

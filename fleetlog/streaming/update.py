@@ -98,7 +98,7 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
         added["ts_idx"] = changes.distinct_index(rows, ts)
         # the registry comes before presence, which reads its keys from the online state
         known = state("host_map")
-        new_keys = changes._known_keys(rows, [key], "left_anti", known)
+        new_keys = changes.match_keys(rows, [key], "left_anti", known)
         added["host_map"] = new_keys.groupBy(key).agg(
             F.min_by(F.struct(spec.map_value, ts), F.struct(ts, *spec.tie)).alias("_m")
         ).select(key, "_m.*")
