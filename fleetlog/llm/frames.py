@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.session import configure, new_run_dir
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Rows of an Arrow batch. Documents are of very different lengths, so batches are kept short.
 BATCH_ROWS = 512
 # Bytes of text that one step inside a task works on.
@@ -20,6 +22,10 @@ STEP_BYTES = 4 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the corpus operators count on."""
     configure(spark)
+    # Python workers import the package from where the driver has it, unless it is installed
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

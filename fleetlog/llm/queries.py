@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlog.llm import id_shards, line_dedup, packing, piece_bpe
+from fleetlog.llm import id_shards, lang_id, line_dedup, packing, part_enum, piece_bpe, quality, token_fst
 from fleetlog.llm.frames import load
 from fleetlog.session import new_run_dir
 
@@ -24,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_fst.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op4_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to shards and read back through their index."""
     docs = load(spark, sf_dir, "documents")
@@ -32,6 +38,18 @@ def op4_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdicts of all documents."""
+    found = quality.assess(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept probability"
+    return found.select("doc_id", *[F.col("quality")[n].alias(n) for n in names.split()])
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 85 % of their four-word shingles in common."""
+    return part_enum.similar_documents(load(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), SEQUENCE, END_ID)
@@ -45,8 +63,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of them."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = lang_id.train(docs.filter(fold != 1))
+    found = lang_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op4_id_shards, op8_packing, op9_byte_bpe)
+    f.__name__: f for f in (
+        op1_line_dedup, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op8_packing, op9_byte_bpe,
+        op10_language_id,
+    )
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

@@ -1,0 +1,41 @@
+"""Words as hashes."""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+# Words kept per Python worker; the table is emptied when it is full.
+CACHE_WORDS = 400_000
+# Odd weight of the window hash.
+_WEIGHT = 0x9E3779B97F4A7C15
+
+
+class WordHashes(dict):
+    """64-bit hash of each word (bytes)."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+HASHES = WordHashes()
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of `width` words."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, weight = np.zeros(n, np.uint64), 1
+    for k in range(width):
+        out += hashes[k : k + n] * np.uint64(weight)
+        weight = weight * _WEIGHT % (1 << 64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
