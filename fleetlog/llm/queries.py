@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import id_shards, lang_id, line_dedup, packing, part_enum, piece_bpe, quality, token_fst
+from fleetlog.llm import id_shards, lang_id, line_dedup, packing, part_enum, piece_bpe, quality, suffix_dedup, token_fst
 from fleetlog.llm.frames import load
 from fleetlog.session import new_run_dir
 
@@ -50,6 +50,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_enum.similar_documents(load(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without 200-byte strings that occur twice."""
+    left = suffix_dedup.dedup_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), SEQUENCE, END_ID)
@@ -74,8 +80,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op8_packing, op9_byte_bpe,
-        op10_language_id,
+        op1_line_dedup, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op7_suffix_dedup,
+        op8_packing, op9_byte_bpe, op10_language_id,
     )
 }
 
