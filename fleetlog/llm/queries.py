@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import id_shards, lang_id, line_dedup, packing, part_enum, piece_bpe, quality, suffix_dedup, token_fst
+from fleetlog.llm import id_shards, lang_id, line_dedup, mtree, packing, part_enum, piece_bpe, quality, suffix_dedup, token_fst
 from fleetlog.llm.frames import load
 from fleetlog.session import new_run_dir
 
@@ -25,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_fst.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -80,9 +86,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op7_suffix_dedup,
+        op1_line_dedup, op2_top_k, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op7_suffix_dedup,
         op8_packing, op9_byte_bpe, op10_language_id,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_top_k": mtree.ORACLE}
