@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.llm.components import components
 from fleetlog.llm.frames import steps, texts_of, written
-from fleetlog.llm.words import HASHES, windows
+from fleetlog.llm.hashing import mix, runs, word_hashes
 
 # Shingles that are compared in one task; above, a family is cut into blocks of about this many.
 FAMILY_SHINGLES = 300_000
@@ -40,21 +40,14 @@ FAMILY_SHINGLES = 300_000
 MERGE_BYTES = 16 << 20
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+def shingles(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text as 64-bit hashes.
 
-
-def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct shingles as 64-bit hashes; fewer words than `width` are one shingle, none are none.
-
-    A-Z are lower-cased, words are runs of anything but ASCII white space.
+    Fewer words than `width` are one shingle, none are none. A-Z are lower-cased, words
+    are runs of anything but ASCII white space.
     """
-    words = HASHES.of(text.encode().lower().split())
-    if not len(words):
-        return words
-    return np.unique(windows(words, min(width, len(words))))
+    found = word_hashes([t.encode().lower() for t in texts])
+    return [np.unique(runs(w, min(width, len(w)))) if len(w) else w for w in found]
 
 
 @cache
@@ -79,53 +72,61 @@ def most_differences(upper: int, percent: int) -> int:
     return (low + high) * (100 - percent) // (100 + percent)
 
 
-def band_signatures(found: np.ndarray, upper: int, percent: int) -> np.ndarray:
-    """Signatures of a set for the pair of bands that ends with `upper`."""
+def band_signatures(sets: list[np.ndarray], upper: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets for the pair of bands that ends with `upper`, and the set that each belongs to."""
     k = most_differences(upper, percent)
     seed = np.uint64((upper + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     if k == 0:
-        return _mix(np.array([found.sum(dtype=np.uint64)]) + seed)
-    spread = _mix(found + seed)
+        return mix(np.array([x.sum(dtype=np.uint64) for x in sets]) + seed), np.arange(len(sets))
     if k <= 5:
         groups, parts, spare = 1, k + 2, 0
     else:
         spare = 2 + k // 25
         groups, parts = k // 2 + 1 + spare, 3
-    part = (spread % np.uint64(groups * parts)).astype(np.int64)
-    value = _mix(spread + np.uint64(1))
-    low = np.bincount(part, (value & np.uint64(0xFFFFFFFF)).astype(float), groups * parts).astype(np.uint64)
-    high = np.bincount(part, (value >> np.uint64(32)).astype(float), groups * parts).astype(np.uint64)
-    sums = (low + (high << np.uint64(32))).reshape(groups, parts)
-    counts = np.bincount(part, minlength=groups * parts).reshape(groups, parts)
+    cells = groups * parts
+    spread = mix(np.concatenate(sets) + seed)
+    at = (spread % np.uint64(cells)).astype(np.int64) + np.repeat(np.arange(len(sets)) * cells, [len(x) for x in sets])
+    value, total = mix(spread + np.uint64(1)), cells * len(sets)
+    low = np.bincount(at, (value & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
+    high = np.bincount(at, (value >> np.uint64(32)).astype(float), total).astype(np.uint64)
+    shape = len(sets), groups, parts
+    sums = (low + (high << np.uint64(32))).reshape(shape)
+    counts = np.bincount(at, minlength=total).reshape(shape)
     one, two = np.triu_indices(parts, 1)
-    body, size = sums[:, one] + sums[:, two], counts[:, one] + counts[:, two]
-    place = np.arange(body.size, dtype=np.uint64).reshape(body.shape) * np.uint64(0xD1342543DE82EF95)
-    out = _mix(_mix(body + seed) + place)
-    empty = size == 0
-    if empty.any(axis=1).sum() <= spare:
-        return out[~empty]
-    return out.ravel()
-
-
-def signatures(found: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set: as the upper and as the lower of two neighbouring bands."""
-    own = band(len(found), percent)
-    band(_limits(percent)[own] + 1, percent)
-    return np.concatenate([band_signatures(found, own, percent), band_signatures(found, own + 1, percent)])
+    body, empty = sums[..., one] + sums[..., two], counts[..., one] + counts[..., two] == 0
+    place = np.arange(body[0].size, dtype=np.uint64).reshape(body.shape[1:]) * np.uint64(0xD1342543DE82EF95)
+    out = mix(mix(body + seed) + place)
+    # empty signatures count only for sets that have too many of them
+    kept = ~empty | (empty.any(axis=2).sum(axis=1) > spare)[:, None, None]
+    owner = np.broadcast_to(np.arange(len(sets))[:, None, None], out.shape)
+    return out[kept], owner[kept]
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of non-empty sets, as the upper and as the lower of two neighbouring bands, and their owners."""
+    band(max(len(x) for x in sets) * 100 // percent + 1, percent)
+    own = np.searchsorted(_limits(percent), [len(x) for x in sets])
+    found, owners = [], []
+    for upper in np.unique(np.concatenate([own, own + 1])):
+        members = np.flatnonzero((own == upper) | (own + 1 == upper))
+        sig, of = band_signatures([sets[i] for i in members], int(upper), percent)
+        found.append(sig)
+        owners.append(members[of])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _set_ids(found: np.ndarray) -> tuple[int, int]:
     """128-bit hash of a set as two signed integers."""
-    one = _mix(found).sum(dtype=np.uint64) + np.uint64(len(found))
-    two = _mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    one = mix(found).sum(dtype=np.uint64) + np.uint64(len(found))
+    two = mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     pair = np.array([one, two], np.uint64)
-    return tuple(_mix(pair).view(np.int64).tolist())
+    return tuple(mix(pair).view(np.int64).tolist())
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            found = shingles(batch.column("text").to_pylist(), width)
             ids = [_set_ids(x) if len(x) else (0, 0) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -142,33 +143,29 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """sig, s1. Sets of a batch that share a signature give one row for it and a two-member group of their own."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
-        rows: dict[int, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
         room = MERGE_BYTES
         for batch in steps(batches):
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, width)
-                if len(found):
-                    one = _set_ids(found)[0]
-                    if one not in rows:
-                        rows[one] = signatures(found, percent)
-                room -= len(text)
-            if room <= 0 and rows:
-                yield rows
-                rows, room = {}, MERGE_BYTES
-        if rows:
-            yield rows
+            texts = batch.column("text").to_pylist()
+            sets.update((_set_ids(x)[0], x) for x in shingles(texts, width) if len(x))
+            room -= sum(map(len, texts))
+            if room <= 0 and sets:
+                yield sets
+                sets, room = {}, MERGE_BYTES
+        if sets:
+            yield sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in gathered(batches):
-            sig = np.concatenate(list(rows.values()))
-            owner = np.repeat(np.array(list(rows), np.int64), [len(x) for x in rows.values()])
+        for sets in gathered(batches):
+            sig, owner = signatures(list(sets.values()), percent)
+            owner = np.array(list(sets), np.int64)[owner]
             order = np.argsort(sig, kind="stable")
             sig, owner = sig[order], owner[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
             head = owner[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
             pairs = np.unique(np.stack([owner[~first], head[~first]], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            own = _mix(_mix(pairs[:, 0].view(np.uint64).copy()) + pairs[:, 1].copy().view(np.uint64)) if len(pairs) else sig[:0]
+            own = mix(mix(pairs[:, 0].view(np.uint64).copy()) + pairs[:, 1].copy().view(np.uint64)) if len(pairs) else sig[:0]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([sig[first], own, own]).view(np.int64)),
@@ -263,7 +260,7 @@ def _verified(families: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_pylist()
-        sets = [shingles(t, width) for t in table.column("text").to_pylist()]
+        sets = shingles(table.column("text").to_pylist(), width)
         found = links(sets, table.column("side").to_numpy(), percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.string()), "b": pa.array([ids[j] for _, j in found], pa.string())})
 
@@ -306,7 +303,7 @@ def similar_documents(
     )
     # the text of one document of each class, by its id; its set tells it from others of that id
     texts = docs.withColumn("text_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("text_id", "text")
-    wanted = in_family.select("text_id").distinct()
+    wanted = in_family.select("text_id").distinct().hint("merge")  # grows with the corpus: never broadcast
     near = _with_set(texts.join(wanted, "text_id"), width)
     sides = placed.join(near, ["s1", "s2"]).select("family", "pair", "side", _class_name().alias("rep"), "text")
     joined = components(_verified(sides, width, percent)).select(F.col("node").alias("rep"), "component")
@@ -328,7 +325,7 @@ def _with_set(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            ids = [_set_ids(shingles(t, width)) for t in batch.column("text").to_pylist()]
+            ids = [_set_ids(x) for x in shingles(batch.column("text").to_pylist(), width)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), batch.column("text")],
                 names=["s1", "s2", "text"],

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlog.llm.words import HASHES, windows
+from fleetlog.llm.hashing import runs, word_hashes
 
 FEATURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct_words",
@@ -33,7 +33,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     """Words inside windows that are found twice or more."""
-    found = windows(hashes, width)
+    found = runs(hashes, width)
     if len(found) < 2:
         return 0
     order = np.argsort(found, kind="stable")
@@ -50,8 +50,8 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((np.cumsum(marks) > 0).sum())
 
 
-def features(text: str | None) -> tuple[int, ...]:
-    """The values of FEATURES; zeros for a null text."""
+def features(text: str | None, hashes: np.ndarray) -> tuple[int, ...]:
+    """The values of FEATURES, given the hashes of the words; zeros for a null text."""
     if not text:
         return (0,) * len(FEATURES)
     words = text.encode().split()
@@ -59,7 +59,7 @@ def features(text: str | None) -> tuple[int, ...]:
     lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
     letters = len(text) - _non_letters(text)
     return (
-        len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(HASHES.of(words)),
+        len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes),
         len(lines), letters, len(set(words)),
     )
 
@@ -72,7 +72,7 @@ def _non_letters(text: str) -> int:
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in FEATURES]))
 def text_features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
-        yield pd.DataFrame([features(t) for t in part], columns=FEATURES, dtype="int64")
+        yield pd.DataFrame(list(map(features, part, word_hashes([(t or "").encode() for t in part]))), columns=FEATURES, dtype="int64")
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -24,9 +24,7 @@ all documents have does not gather in one task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlog.llm.frames import document_key, steps, written
+from fleetlog.llm.hashing import Strings, mix
 from fleetlog.llm.suffix_sort import suffix_array
 
 LENGTH = 200
@@ -47,40 +46,6 @@ BUCKET_CONTEXTS, ARRAY_BYTES = 400, 100_000
 PIECE = 1 << 20
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd weight and of its inverse modulo 2^64."""
-    weight = 0x9E3779B97F4A7C15
-    inverse = pow(weight, -1, 1 << 64)
-    up = np.full(n, weight, np.uint64)
-    down = np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-@cache
-def _byte_values(seed: int) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(bytes([seed, b]), digest_size=8).digest() for b in range(256)), "<u8")
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D)
-    return x ^ (x >> np.uint64(28))
-
-
-class Strings:
-    """Hashes of substrings of a byte array in constant time each."""
-
-    def __init__(self, data: np.ndarray, seed: int = 0):
-        size = 1 << max(21, int(len(data) + 1).bit_length())
-        up, self.down = _powers(size)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_byte_values(seed)[data] * up[: len(data)], dtype=np.uint64)])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchor occurrences of texts laid end to end: hash, context hash, first window, number of windows."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -154,7 +119,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 weight[order] = np.where(several, 0, 1)
                 stands = order[several & ~same]
                 # known ones travel under a key of their own
-                key = np.where(weight == 0, _mix(gram_hash + owner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + first.astype(np.uint64)), gram_hash)
+                key = np.where(weight == 0, mix(gram_hash + owner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + first.astype(np.uint64)), gram_hash)
                 columns = [
                     np.concatenate([key, gram_hash[stands]]).view(np.int64),
                     np.concatenate([context, context[stands]]).view(np.int64),
@@ -301,10 +266,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
 def dedup_substrings(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-    bucket_contexts: int = BUCKET_CONTEXTS,
+    bucket_contexts: int = BUCKET_CONTEXTS, whole_characters: bool = False,
 ) -> DataFrame:
     """All columns of df plus n_bytes, n_removed, n_spans, kept (the bytes left).
 
+    With whole_characters, a character goes only if all its bytes do.
+
     A null text is empty. Every row is a document: of a row that is there twice all
     strings of `length` bytes are repeated. Null ids are as good as others. Columns of
     df named like the new ones are replaced.
@@ -332,6 +299,9 @@ def dedup_substrings(
                 np.add.at(marks, first, 1)
                 np.add.at(marks, first + np.array([x["count"] for x in found]) - 1 + length, -1)
                 gone = np.cumsum(marks[:-1]) > 0
+                if whole_characters:
+                    lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+                    gone = np.repeat(np.minimum.reduceat(gone, lead), np.diff([*lead, len(data)]))
                 n_spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                 out.append((len(data), int(gone.sum()), n_spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             kinds = [pa.int64()] * 3 + [pa.binary()]
