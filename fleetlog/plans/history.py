@@ -105,23 +105,26 @@ def snapshot_upsert(spark, sf):
     return changes.upsert(old, changes.changed_in_poll(new, ["user_id"], cols, old), ["user_id"])
 
 
-# Children l_partkey of parent l_suppkey: F lines are the snapshot, O lines the poll.
+# Children l_suppkey of parent l_partkey: lines shipped before the date are the snapshot, the others the poll.
+_SHIP_CUT = "2001-06-01"
+
+
 @query(
     "child_set_snapshot",
-    """WITH snap AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_suppkey % 3 > 0),
-       poll AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey % 4 > 0),
-       kept AS (SELECT * FROM snap WHERE NOT (l_suppkey IN (SELECT l_suppkey FROM poll)
-                                             AND l_partkey NOT IN (SELECT l_partkey FROM poll)))
+    f"""WITH snap AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '{_SHIP_CUT}'),
+       poll AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '{_SHIP_CUT}'),
+       kept AS (SELECT * FROM snap WHERE NOT (l_partkey IN (SELECT l_partkey FROM poll)
+                                             AND l_suppkey NOT IN (SELECT l_suppkey FROM poll)))
        SELECT * FROM kept
        UNION ALL
-       SELECT * FROM poll WHERE l_suppkey NOT IN (SELECT l_suppkey FROM kept)""",
+       SELECT * FROM poll WHERE l_partkey NOT IN (SELECT l_partkey FROM kept)""",
 )
 def child_set_snapshot(spark, sf):
+    cut = F.lit(_SHIP_CUT).cast("timestamp")
     lines = a.table(spark, sf, "lineitem")
-    pairs = lambda cond: lines.filter(cond).select("l_suppkey", "l_partkey").distinct()
-    snap = pairs("l_linestatus = 'F' and l_suppkey % 3 > 0")
-    poll = pairs("l_linestatus = 'O' and l_suppkey % 4 > 0")
-    return changes.child_set_snapshot(snap, poll, "l_suppkey", "l_partkey")
+    pairs = lambda cond: lines.filter(cond).select("l_partkey", "l_suppkey").distinct()
+    snap, poll = pairs(F.col("l_shipdate") < cut), pairs(F.col("l_shipdate") >= cut)
+    return changes.child_set_snapshot(snap, poll, "l_partkey", "l_suppkey")
 
 
 _LOG_COLS = ("event_type", "band", "k")
@@ -249,7 +252,11 @@ def zero_counts(spark, sf):
     return timeline.zero_counts(densify(spark, sf), "user_id", "band")
 
 
-_ALIGN_ROLES = {"k": ("click", "k"), "band": ("view", "band"), "cents": ("purchase", "cents")}
+_ALIGN_ROLES = {
+    "k": ("click", "k"), "band": ("view", "band"), "cents": ("purchase", "cents"),
+    "joined": ("signup", "band"), "fault": ("error", "k"),
+}
+_ROLES = ", ".join(_ALIGN_ROLES)
 
 
 def _logs(spark, sf):
@@ -257,20 +264,24 @@ def _logs(spark, sf):
 
 
 _LOGS = ", ".join(f"log_{n} AS ({a.value_log_sql(e, c, n)})" for n, (e, c) in _ALIGN_ROLES.items())
+_VALUES = ", ".join(f"log_{n}.{n}" for n in _ALIGN_ROLES)
+
+
+def _asof(key: str, ts: str) -> str:
+    return " ".join(f"ASOF LEFT JOIN log_{n} ON log_{n}.user_id = {key} AND log_{n}.ts <= {ts}" for n in _ALIGN_ROLES)
+
+
+def _union(cols: str) -> str:
+    return " UNION ".join(f"SELECT {cols} FROM log_{n}" for n in _ALIGN_ROLES)
 
 
 @query(
     "asof_align",
-    f"""WITH {OBS}, {SIGHTINGS}, {POLLS}, {_LOGS},
-    users AS (SELECT user_id FROM log_k UNION SELECT user_id FROM log_band UNION SELECT user_id FROM log_cents),
-    joined AS (
-      SELECT u.user_id, polls.ts, log_k.k, log_band.band, log_cents.cents
-      FROM users u CROSS JOIN polls
-      ASOF LEFT JOIN log_k ON log_k.user_id = u.user_id AND log_k.ts <= polls.ts
-      ASOF LEFT JOIN log_band ON log_band.user_id = u.user_id AND log_band.ts <= polls.ts
-      ASOF LEFT JOIN log_cents ON log_cents.user_id = u.user_id AND log_cents.ts <= polls.ts)
-    SELECT user_id, k, band, cents, ts FROM joined
-    WHERE k IS NOT NULL OR band IS NOT NULL OR cents IS NOT NULL""",
+    f"""WITH {OBS}, {SIGHTINGS}, {POLLS}, {_LOGS}, users AS ({_union("user_id")}),
+    joined_logs AS (
+      SELECT u.user_id, polls.ts, {_VALUES} FROM users u CROSS JOIN polls {_asof("u.user_id", "polls.ts")})
+    SELECT user_id, {_ROLES}, ts FROM joined_logs
+    WHERE {" OR ".join(f"{n} IS NOT NULL" for n in _ALIGN_ROLES)}""",
 )
 def asof_align(spark, sf):
     return timeline.asof_align(_logs(spark, sf), "user_id", a.poll_times(spark, sf), "ts")
@@ -278,22 +289,15 @@ def asof_align(spark, sf):
 
 @query(
     "asof_align_distinct",
-    f"""WITH {OBS}, {_LOGS}, times AS (
-      SELECT user_id, ts FROM log_k UNION SELECT user_id, ts FROM log_band
-      UNION SELECT user_id, ts FROM log_cents),
-    joined AS (
-      SELECT t.user_id, t.ts, log_k.k, log_band.band, log_cents.cents FROM times t
-      ASOF LEFT JOIN log_k ON log_k.user_id = t.user_id AND log_k.ts <= t.ts
-      ASOF LEFT JOIN log_band ON log_band.user_id = t.user_id AND log_band.ts <= t.ts
-      ASOF LEFT JOIN log_cents ON log_cents.user_id = t.user_id AND log_cents.ts <= t.ts)
-    SELECT user_id, k, band, cents, min(ts) AS ts FROM joined WHERE k IS NOT NULL
-    GROUP BY user_id, k, band, cents""",
+    f"""WITH {OBS}, {_LOGS}, times AS ({_union("user_id, ts")}),
+    joined_logs AS (SELECT t.user_id, t.ts, {_VALUES} FROM times t {_asof("t.user_id", "t.ts")})
+    SELECT user_id, {_ROLES}, min(ts) AS ts FROM joined_logs WHERE k IS NOT NULL GROUP BY user_id, {_ROLES}""",
 )
 def asof_align_distinct(spark, sf):
     return timeline.asof_align_distinct(_logs(spark, sf), "user_id", "k", "ts")
 
 
-@query("union_ts_index", f"WITH {OBS} SELECT DISTINCT ts FROM obs WHERE event_type IN ('click', 'view', 'purchase')")
+@query("union_ts_index", f"WITH {OBS} SELECT DISTINCT ts FROM obs")
 def union_ts_index(spark, sf):
     return timeline.union_index(list(_logs(spark, sf).values()), "ts")
 
