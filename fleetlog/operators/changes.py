@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.operators.sequence import HOT_ROWS, HotKeys, null_safe_on, with_neighbours
+from fleetlog.operators.sequence import HOT_ROWS, HotKeys, hot_keys, null_safe_on, with_neighbours
 
 
 def match_keys(df: DataFrame, key: Sequence[str], how: str, other: DataFrame) -> DataFrame:
@@ -66,6 +66,16 @@ def change_log(
     columns, one row per key) the first row of each key is compared to it.
     """
     src = df.select(*dict.fromkeys([*key, *cols, *order, *keep]))
+    changed = ~F.struct(*cols).eqNullSafe(F.col("_prev"))
+    hot = hot or hot_keys(src, key, order[0], hot_rows)
+    if state is not None and not hot.levels:
+        # the state takes part as the row before all others: one window, no join
+        others = [c for c in src.columns if c not in (*key, *cols)]
+        before = state.select(*key, *cols, *[F.lit(None).cast(src.schema[c].dataType).alias(c) for c in others], F.lit(True).alias("_old"))
+        both = src.withColumn("_old", F.lit(False)).unionByName(before)
+        window = Window.partitionBy(*key).orderBy(F.desc("_old"), *order)
+        seq = both.withColumn("_prev", F.lag(F.struct(*cols)).over(window)).filter("not _old").drop("_old")
+        return seq.filter(changed).select(*dict.fromkeys([*key, *cols, order[0], *keep]))
     seq = with_neighbours(src, key, order, prev=cols, hot_rows=hot_rows, hot=hot)
     if state is not None:
         seen = state.select(
@@ -73,7 +83,6 @@ def change_log(
         )
         on = null_safe_on([seq[k] for k in key], [seen[f"_s_{k}"] for k in key])
         seq = seq.join(seen, on, "left").withColumn("_prev", F.coalesce("_prev", "_state"))
-    changed = ~F.struct(*cols).eqNullSafe(F.col("_prev"))
     return seq.filter(changed).select(*dict.fromkeys([*key, *cols, order[0], *keep]))
 
 
@@ -92,15 +101,17 @@ def changed_in_poll(
 def latest_snapshot(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Last values per key. Map-side combined, so hot keys cost nothing extra."""
+    """Last values per key. Combined map-side before the shuffle, after a sort by key in each task."""
     last = df.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_row"))
     return last.select(*key, *[F.col("_row")[c].alias(c) for c in cols])
 
 
 def upsert(state: DataFrame, changed: DataFrame, key: Sequence[str]) -> DataFrame:
-    """State with the rows of changed (one per key) put in place."""
-    kept = match_keys(state, key, "left_anti", changed)
-    return kept.unionByName(changed.select(*state.columns))
+    """State with the rows of changed (one per key) put in place; one aggregation by key."""
+    others = [c for c in state.columns if c not in key]
+    both = state.select("*", F.lit(0).alias("_new")).unionByName(changed.select(*state.columns, F.lit(1).alias("_new")))
+    last = both.groupBy(*key).agg(F.max_by(F.struct(*others), "_new").alias("_row"))
+    return last.select(*[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in state.columns])
 
 
 def child_set_snapshot(

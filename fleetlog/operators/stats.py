@@ -50,22 +50,22 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 MAX_VALUES = 1_000
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:
+def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence | None = None, rest: str | None = None) -> DataFrame:
     """Contingency table with one column per value of b, zeros filled.
 
-    Without a list the values are looked up first (at most MAX_VALUES); a value
-    missing from a given list is an error. Null values of b are not counted.
+    Without a list the values are looked up first (at most MAX_VALUES). With a list it
+    shows the chosen ones; rest names a column that counts all others. Null values of b
+    are not counted.
     """
     if values is None:
         found = df.filter(F.col(b).isNotNull()).select(b).distinct().limit(MAX_VALUES + 1).collect()
         if len(found) > MAX_VALUES:
             raise ValueError(f"{b} has more than {MAX_VALUES} values")
         values = sorted(r[0] for r in found)
-    x = F.col(b)
-    listed = F.when(x.isNull() | x.isin(list(values)), x).otherwise(
-        F.raise_error(F.concat(F.lit(f"{b} has a value that is not listed: "), x.cast("string"))).cast(df.schema[b].dataType)
-    )
-    return df.select(a, listed.alias(b)).groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
+    counted = [F.count_if(F.col(b) == v).alias(str(v)) for v in values]
+    if rest is not None:
+        counted.append(F.count_if(~F.col(b).isin(list(values))).alias(rest))
+    return df.groupBy(a).agg(*counted) if counted else df.select(a).distinct()
 
 
 def chi_square_statistics(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:

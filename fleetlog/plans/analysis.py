@@ -37,13 +37,14 @@ _WIDE = """SELECT l_orderkey, l_linenumber, l_extendedprice, o_totalprice, o_ord
 
 def _wide(spark, sf):
     t = lambda name: a.table(spark, sf, name)
-    return (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # the fact table last: it is shuffled once, whatever the size of the others
+    orders = (
+        t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    return t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 @query("wide_join", _WIDE)

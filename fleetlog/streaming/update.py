@@ -75,15 +75,24 @@ def current_state(store: PollStore, table: str, typed: T.StructType, at: Commit,
     return changes.latest_snapshot(rows, [key], cols, [ts])
 
 
+def one_row_per_poll(rows: DataFrame, key: str, ts: str, tie: Sequence[str] = ()) -> DataFrame:
+    """The last row of each key and poll, by the tie-break columns and then by all others."""
+    others = [c for c in rows.columns if c not in (key, ts)]
+    order = [*tie, *[c for c in others if c not in tie]]
+    last = rows.groupBy(key, ts).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last"))
+    return last.select(*[F.col("_last")[c].alias(c) if c in others else F.col(c) for c in rows.columns])
+
+
 def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables) -> dict[str, int]:
     """Write what a batch of admitted polls changes in every table; one commit.
 
+    Of several rows of a key in one poll the last one counts, in every table.
     Returns the number of rows added per table (empty when there was nothing new).
     """
     key, ts = spec.key, spec.ts
     at = store.last_commit(before=batch)
     typed = spec.schemas(rows.schema)
-    rows = rows.persist()
+    rows = one_row_per_poll(rows, key, ts, spec.tie).persist()
     try:
         last = rows.agg(F.max(ts)).first()[0]
         if last is None:
@@ -100,11 +109,11 @@ def update_all(store: PollStore, rows: DataFrame, batch: int, spec: FleetTables)
         known = state("host_map")
         new_keys = changes.match_keys(rows, [key], "left_anti", known)
         added["host_map"] = new_keys.groupBy(key).agg(
-            F.min_by(F.struct(spec.map_value, ts), F.struct(ts, *spec.tie)).alias("_m")
+            F.min_by(F.struct(spec.map_value, ts), F.col(ts)).alias("_m")
         ).select(key, "_m.*")
         added["online"] = _presence(rows, state("online"), at.last_ts, key, ts, hot)
         for name, cols in spec.logs.items():
-            added[name] = changes.change_log(rows, [key], cols, [ts, *spec.tie], state(name), hot=hot)
+            added[name] = changes.change_log(rows, [key], cols, [ts], state(name), hot=hot)
         added["avg_buffer"] = rows.select(key, *spec.averages, ts)
 
         open_end = _period_end(at.last_ts, spec.period)

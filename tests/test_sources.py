@@ -86,3 +86,32 @@ def test_store_shows_only_committed_batches(spark, tmp_path):
     assert rows(store.state("t", typed, store.last_commit())) == [(2,)]
     # a second create leaves everything in place
     assert PollStore(spark, str(tmp_path / "s")).create({"t": typed}).read("t", typed).count() == 3
+
+
+def test_mistyped_fields_spoil_nothing_else(spark, tmp_path):
+    offer = T.StructType([
+        T.StructField("machine_id", T.LongType()), T.StructField("num_gpus", T.LongType()), T.StructField("has_avx", T.BooleanType()),
+        T.StructField("score", T.DoubleType()), T.StructField("gpu_name", T.StringType()),
+        T.StructField("location", T.StructType([T.StructField("country", T.StringType())])),
+    ])
+    offers = [
+        {"machine_id": 1, "num_gpus": 2, "has_avx": True, "score": 1.5, "gpu_name": "g", "location": {"country": "SE"}},
+        {"machine_id": 2, "num_gpus": 1.0, "has_avx": 1, "score": "2.5", "gpu_name": 7, "location": "nowhere"},
+        {"machine_id": "3", "num_gpus": "many", "has_avx": "yes?", "score": None, "gpu_name": None, "location": None},
+        {"machine_id": 9007199254740993, "num_gpus": True, "has_avx": 0},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps({"timestamp": "2024-01-01T00:01:00Z", "offers": offers}))
+    (tmp_path / "b.json").write_text(json.dumps({"timestamp": "garbage", "offers": offers}))
+    read = payload.read_payloads(spark, str(tmp_path), offer)
+    got = payload.explode_offers(read).select(*[f.name for f in offer.fields[:5]], "location.country")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 2, True, 1.5, "g", "SE"), (2, 1, True, 2.5, "7", None), (3, None, None, None, None, None),
+        (9007199254740993, 1, False, None, None, None),
+    ]
+    assert rows(payload.rejected(read), "reason") == [("bad timestamp",)]
+
+
+def test_one_poll_per_time(spark):
+    both = [(10, 5, "b", 1), (10, 5, "a", 2), (10, 5, "a", 3), (20, 5, "c", 4), (15, 6, "d", 5)]
+    df = spark.createDataFrame(both, "timestamp long, arrived long, source string, machine_id long")
+    assert rows(payload.admit(df), "machine_id") == [(2,), (3,), (4,)]

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from fleetlog.functions import special
 from fleetlog.operators import derive, normalize, profile, stats
 from fleetlog.operators.quantiles import exact_quantiles
 
@@ -101,6 +102,25 @@ def test_histogram(spark):
     flat = df.select(F.lit(1.0).alias("x"), "f")
     assert rows(stats.histogram_by_flag(flat, "x", "f", 4)) == [(0, False, 5), (0, True, 4)]
     assert rows(stats.crosstab_wide(df, "f", "x", [1.0, 8.0])) == [(False, 1, 0), (True, 0, 1)]
+    rest = stats.crosstab_wide(df, "f", "x", [1.0, 8.0], rest="others").select("f", "others")
+    assert rows(rest) == [(False, 4), (True, 3)]
+    assert len(stats.crosstab_wide(df, "f", "x").columns) == 1 + df.select("x").distinct().count()
+
+
+def test_p_values_of_large_samples():
+    """Against the normal limit and the expansion around the median of chi-square."""
+    for dof in (10**4, 10**6, 10**8, 10**10, 10**12):
+        assert abs(special.chi_square_p(dof * (1 - 2 / (9 * dof)) ** 3, dof) - 0.5) < 1e-6
+        assert abs(special.chi_square_p(dof + 2 * (2 * dof) ** 0.5, dof) - 0.0227501319) < 0.08 / dof**0.5
+        assert special.chi_square_p(0.5 * dof, dof) == pytest.approx(1.0)
+        assert special.chi_square_p(2.0 * dof, dof) < 1e-100
+        t = 1.0
+        assert abs(special.correlation_p(t / (dof + t * t) ** 0.5, dof + 2) - 0.31731050786) < 0.3 / dof + 1e-11
+    for s, x in ((2000, 1900), (2000, 2000), (2000, 2150)):
+        assert special.gamma_upper_large(s, x) == pytest.approx(special.gamma_upper(s, x), rel=1e-9)
+    for dof, t in ((2000, 0.5), (2000, 4.0)):
+        exact = special.beta_inc(dof / 2, 0.5, dof / (dof + t * t))
+        assert special.student_two_sided_large(t, dof) == pytest.approx(exact, rel=1e-9)
 
 
 def test_profile(spark):

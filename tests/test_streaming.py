@@ -144,3 +144,24 @@ def test_streaming_rollup(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert rows(spark.read.schema(out.schema).parquet(str(tmp_path / "out"))) == [(1, 2, 0.0, 172800), (1, 2, 1.5, 86400)]
+
+
+def test_several_rows_of_a_key_in_a_poll(spark, tmp_path):
+    """The last row by the tie-break counts, whatever the order in which rows arrive."""
+    rnd = random.Random(6)
+    data = [(m, i, rnd.randrange(3), rnd.randrange(50), START + p * 900) for p in range(6) for m in range(3) for i in range(3)]
+    last = {(m, ts): (m, i, g, d, ts) for m, i, g, d, ts in sorted(data)}
+    spec = update.FleetTables(map_value="id", logs={"cost": ["gpu"]}, averages=("dlperf",), period=1800, tie=("id",))
+    schema = "machine_id long, id long, gpu long, dlperf long, timestamp long"
+    want = spark.createDataFrame(list(last.values()), schema)
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, schema).repartition(5)
+    store = PollStore(spark, str(tmp_path / "t"))
+    update.create_tables(store, df.schema, spec)
+    cut = START + 2 * 900
+    update.update_all(store, df.filter(F.col("timestamp") <= cut), 0, spec)
+    update.update_all(store, df.filter(F.col("timestamp") > cut), 1, spec)
+    read = lambda t: rows(update.read_table(store, t, df.schema, spec))
+    assert read("cost") == rows(changes.change_log(want, ["machine_id"], ["gpu"], ["timestamp"]))
+    assert read("avg") == rows(rollup.period_avg_std(want, "machine_id", ["dlperf"], period=1800))
+    assert read("online") == rows(presence.presence_log(want, "machine_id"))
