@@ -10,12 +10,15 @@ windows that it is the anchor of. Documents are cut into anchors where they lie,
 only hashes cross the network. Of an anchor's occurrences
 
 * those with equal contexts are all repeated, found by counting;
-* an occurrence with a context of its own, beside others, is settled by a suffix array
-  over one copy of each context: a window is repeated if a neighbour in suffix order
+* an occurrence with a context of its own, beside others, is taken apart into classes
+  of `CLASS` neighbouring windows. All windows of a class contain one core around the
+  anchor. Classes that are equal in full are repeated; a class whose core nobody shares
+  is not. Of the others the core becomes one symbol, and a suffix array over what is
+  left of one copy of each decides: a window is repeated if a neighbour in suffix order
   begins with the same bytes. Small buckets share an array;
 * anchors with more than `BUCKET_CONTEXTS` different contexts (the edges of a passage
-  that very many documents quote) are settled window by window, by counting 128-bit
-  hashes of their windows, which spreads them over all tasks.
+  that very many documents quote) go the same way with Spark's groups in place of a
+  task's: classes, then windows of the few undecided ones, are counted by 128-bit hashes.
 
 Within a task, equal contexts are merged before they are shuffled; the occurrences
 then need no partner and travel under keys of their own, so an anchor that a third of
@@ -24,6 +27,7 @@ all documents have does not gather in one task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +44,18 @@ from fleetlog.llm.suffix_sort import suffix_array
 LENGTH = 200
 # Bytes of an anchor; shorter ones occur by chance more often, longer ones are more.
 GRAM = 80
-# Contexts of an anchor that go into one suffix array, and bytes of buckets that share one.
-BUCKET_CONTEXTS, ARRAY_BYTES = 400, 100_000
+# Contexts of an anchor that are settled in one task, and bytes of contexts that share a suffix array.
+BUCKET_CONTEXTS, ARRAY_BYTES = 400, 2_000_000
+# Windows of a class.
+CLASS = 11
 # Bytes worked on at a time; longer documents are cut with the overlap that windows need.
 PIECE = 1 << 20
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor occurrences of texts laid end to end: hash, context hash, first window, number of windows."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Anchor occurrences of texts laid end to end: hash, context hash, first window, number of windows,
+    bytes of the first window before the anchor."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     n = len(data)
     if n < length:
         return none
@@ -75,7 +82,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(starts)]]))
     begin = starts[first]
-    return grams[place[first]], strings.hash(begin, begin + count - 1 + length), begin, count
+    return grams[place[first]], strings.hash(begin, begin + count - 1 + length), begin, count, place[first] - begin
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -93,7 +100,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield group
 
 
-_OCCURRENCE = "anchor long, context long, k1 long, k2 long, first long, windows int, weight int"
+_OCCURRENCE = "anchor long, context long, k1 long, k2 long, first long, windows int, lead int, weight int"
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -105,7 +112,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for group in _pieces([t.encode() for t in batch.column("text").to_pylist()], length):
                 sizes = np.array([len(p) for _, _, p in group])
                 ends = np.cumsum(sizes)
-                gram_hash, context, begin, count = anchors(np.frombuffer(b"".join(p for _, _, p in group), np.uint8), ends, length, gram)
+                gram_hash, context, begin, count, lead = anchors(np.frombuffer(b"".join(p for _, _, p in group), np.uint8), ends, length, gram)
                 if not len(begin):
                     continue
                 piece = np.searchsorted(ends, begin, side="right")
@@ -123,7 +130,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [
                     np.concatenate([key, gram_hash[stands]]).view(np.int64),
                     np.concatenate([context, context[stands]]).view(np.int64),
-                    *(np.concatenate([x, x[stands]]) for x in (k1[owner], k2[owner], first, count.astype(np.int32))),
+                    *(np.concatenate([x, x[stands]]) for x in (k1[owner], k2[owner], first, count.astype(np.int32), lead.astype(np.int32))),
                     np.concatenate([weight, np.full(len(stands), 2, np.int32)]),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _OCCURRENCE.split(", ")])
@@ -134,49 +141,86 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
 _WINDOW_ROWS = "k1 long, k2 long, first long, count int"
 
 
-def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context the places at which a string of `length` bytes starts that starts elsewhere among them too."""
+def classes(body: bytes, windows: int, lead: int, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """Classes of the windows of a context: number, first window, windows, core, bytes before and after the core.
+
+    A window with a bytes before the anchor is of class a // CLASS.
+    """
+    most, least = lead, lead - windows + 1
+    for number in range(least // CLASS, most // CLASS + 1):
+        low, high = max(least, number * CLASS), min(most, number * CLASS + CLASS - 1)
+        core_from = lead - number * CLASS
+        core_to = lead + length - number * CLASS - CLASS + 1
+        core_to = max(core_to, core_from)
+        begin, end = lead - high, lead - low + length
+        yield number, begin, high - low + 1, body[core_from:core_to], body[begin:core_from], body[core_to:end]
+
+
+def repeated_windows(texts: list[tuple[int, bytes, bytes]], width: int) -> list[np.ndarray]:
+    """For texts (core symbol, bytes before, bytes after) the windows of `width` symbols that are there twice.
+
+    A window starts before or at the core and contains it.
+    """
     text: list[int] = []
-    owner: list[int] = []
-    for k, c in enumerate(contexts):
-        text.extend(b + 2 for b in c)
+    start, room = [], []
+    for core, before, after in texts:
+        start.append(len(text))
+        text.extend(b + 2 for b in before)
+        text.append(core + 258)
+        text.extend(b + 2 for b in after)
+        room.extend(range(len(before) + 1 + len(after), -1, -1))
         text.append(1)
-        owner.extend([k] * (len(c) + 1))
-    joined = b"\0".join(contexts) + b"\0"
-    start = np.concatenate([[0], np.cumsum([len(c) + 1 for c in contexts])])
-    room = start[1:][np.array(owner, np.int64)] - 1 - np.arange(len(owner)) if owner else np.zeros(0, np.int64)
     order = np.array(suffix_array(text), np.int64)
-    order = order[room[order] >= length]  # equal strings stay next to each other
-    found = np.zeros(len(text), bool)
-    near = [joined[i : i + length] for i in order.tolist()]
+    order = order[np.array(room, np.int64)[order] >= width]  # equal windows stay next to each other
+    near = [tuple(text[i : i + width]) for i in order.tolist()]
     same = np.array([x == y for x, y in zip(near, near[1:])], bool)
+    found = np.zeros(len(text) + 1, bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
-    return [np.flatnonzero(found[a:b]) for a, b in zip(start, start[1:])]
-
-
-def _runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of consecutive numbers: first and length."""
-    if len(places):
-        cut = np.flatnonzero(np.diff(places) != 1)
-        yield from zip(places[np.concatenate([[0], cut + 1])].tolist(), np.diff(np.concatenate([[-1], cut, [len(places) - 1]])).tolist())
-
-
-def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of lone contexts; rows (anchor, lone, k1, k2, first, body) arrive sorted by anchor."""
-
-    def solve(bucket: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-        for row, places in zip(bucket, repeated_windows([r["body"] for r in bucket], length)):
-            if row["lone"]:
-                for place, count in _runs(places):
-                    yield row["k1"], row["k2"], row["first"] + place, count
+    return [np.flatnonzero(found[at : at + len(before) + 1]) for at, (_, before, _) in zip(start, texts)]
+
+
+def settle(bucket: list[dict], length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """k1, k2, first, count of the repeated windows of the lone contexts among some whole buckets."""
+    spans: dict[tuple, list[tuple]] = {}
+    cores: dict[tuple, list[tuple]] = {}
+    for row in bucket:
+        for number, begin, count, core, before, after in classes(row["body"], row["windows"], row["lead"], length, gram):
+            key = row["anchor"], number, core, before, after
+            if key not in spans:
+                spans[key] = []
+                cores.setdefault(key[:3], []).append(key)
+            spans[key].append((row, begin, count))
+    open_: list[tuple] = []
+    for keys in cores.values():
+        for key in keys:
+            if len(spans[key]) > 1:
+                for row, begin, count in spans[key]:
+                    if row["lone"]:
+                        yield row["k1"], row["k2"], row["first"] + begin, count
+        if len(keys) > 1 and any(len(spans[k]) == 1 and spans[k][0][0]["lone"] for k in keys):
+            open_ += keys
+    if not open_:
+        return
+    symbols = {core: n for n, core in enumerate(dict.fromkeys(k[:3] for k in open_))}
+    texts = [(symbols[k[:3]], k[3], k[4]) for k in open_]
+    # a window is its core and CLASS - 1 bytes around it
+    for key, places in zip(open_, repeated_windows(texts, CLASS)):
+        if len(spans[key]) == 1 and spans[key][0][0]["lone"]:
+            row, begin, _ = spans[key][0]
+            for place in places.tolist():
+                yield row["k1"], row["k2"], row["first"] + begin + place, 1
+
+
+def _by_suffix_array(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated windows of lone contexts; the contexts of an anchor are settled together, small buckets in one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[dict] = []
         room = ARRAY_BYTES
 
         def solved() -> pa.RecordBatch:
-            found = list(zip(*solve(bucket))) or [()] * 4
+            found = list(zip(*settle(bucket, length, gram))) or [()] * 4
             kinds = [pa.int64()] * 3 + [pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], names=["k1", "k2", "first", "count"])
 
@@ -195,31 +239,56 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _WINDOW_ROWS)
 
 
-def _by_window(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: windows are counted by their hashes."""
+def _hash128(*parts: bytes | int) -> tuple[int, int]:
+    text = b"|".join(p if isinstance(p, bytes) else str(p).encode() for p in parts)
+    digest = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "body"):
-            bodies = batch.column("body").to_pylist()
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            sizes = np.array([len(b) for b in bodies])
-            windows = sizes - length + 1
-            owner = np.repeat(np.arange(len(bodies)), windows)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = (np.cumsum(sizes) - sizes)[owner] + place
-            columns = [Strings(data, seed).hash(at, at + length).view(np.int64) for seed in (1, 2)]
-            lone = batch.column("lone").to_numpy(zero_copy_only=False)[owner]
-            k1, k2, first = (batch.column(c).to_numpy()[owner] for c in ("k1", "k2", "first"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (*columns, lone, k1, k2, first + place)], names=["h1", "h2", "lone", "k1", "k2", "first"]
-            )
 
+def _by_counting(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for anchors with very many contexts."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = rows.repartition(parts).mapInArrow(run, "h1 long, h2 long, lone boolean, k1 long, k2 long, first long")
-    return (
-        each.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h1", "h2"))).filter("n > 1 AND lone")
-        .select("k1", "k2", "first", F.lit(1).alias("count"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                for number, begin, count, core, before, after in classes(row["body"], row["windows"], row["lead"], length, gram):
+                    h1, h2 = _hash128(row["anchor"], number, core)
+                    out.append((h1, h2, before, after, row["lone"], row["k1"], row["k2"], row["first"] + begin, count))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            names = ["h1", "h2", "before", "after", "lone", "k1", "k2", "first", "count"]
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    found = rows.repartition(parts).mapInArrow(
+        cut, "h1 long, h2 long, before binary, after binary, lone boolean, k1 long, k2 long, first long, count int"
     )
+    owner = F.min(F.struct("lone", "k1", "k2", "first")).alias("owner")
+    spans = written(found.groupBy("h1", "h2", "before", "after").agg(F.count(F.lit(1)).alias("n"), owner), "spans")
+    whole = found.filter("lone").join(spans.filter("n > 1").drop("n", "owner"), ["h1", "h2", "before", "after"])
+    several = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("spans")).filter("spans > 1")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                before, after, own = row["before"], row["after"], row["owner"]
+                lone = row["n"] == 1 and own["lone"]
+                for place in range(len(before) + 1):
+                    left = before[place:]
+                    right = after[: CLASS - 1 - len(left)]
+                    if len(left) + len(right) == CLASS - 1:
+                        out.append((*_hash128(row["h1"], row["h2"], left, b"/", right), lone, own["k1"], own["k2"], own["first"] + place))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3]
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["w1", "w2", "lone", "k1", "k2", "first"])
+
+    undecided = spans.join(several, ["h1", "h2"]).drop("spans").repartition(parts)
+    windows = written(undecided.mapInArrow(each, "w1 long, w2 long, lone boolean, k1 long, k2 long, first long"), "windows")
+    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    single = windows.filter("lone").join(twice, ["w1", "w2"]).select("k1", "k2", "first", F.lit(1).alias("count"))
+    return whole.select("k1", "k2", "first", "count").union(single)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_contexts: int = BUCKET_CONTEXTS) -> DataFrame:
@@ -233,7 +302,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     settled = (F.col("weight") == 0) | ((F.col("here") > 1) & (F.col("weight") == 1))
     mixed = (F.col("weight") > 0) & (F.col("total") > F.col("here")) & (F.col("number") == 1)
     state = counted.filter(settled | mixed).select(
-        "anchor", "k1", "k2", "first", "windows", settled.alias("settled"), mixed.alias("mixed"), (F.col("here") == 1).alias("lone"),
+        "anchor", "k1", "k2", "first", "windows", "lead", settled.alias("settled"), mixed.alias("mixed"), (F.col("here") == 1).alias("lone"),
     )
     state = written(state, "anchors")
     spans = state.filter("settled").select("k1", "k2", "first", F.col("windows").alias("count"))
@@ -242,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     bucket = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.max("lone").alias("any_lone"))
     asked = open_.join(bucket, "anchor").filter("any_lone")
     by_doc = asked.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("anchor", "lone", "first", "windows", (F.col("contexts") > bucket_contexts).alias("hot"))).alias("asked")
+        F.collect_list(F.struct("anchor", "lone", "first", "windows", "lead", (F.col("contexts") > bucket_contexts).alias("hot"))).alias("asked")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +321,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 data = text.encode()
                 for x in wanted:
                     body = data[x["first"] : x["first"] + x["windows"] - 1 + length]
-                    rows.append((x["anchor"], x["lone"], x["hot"], k1, k2, x["first"], body))
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["anchor", "lone", "hot", "k1", "k2", "first", "body"]
+                    rows.append((x["anchor"], x["lone"], x["hot"], k1, k2, x["first"], x["windows"], x["lead"], body))
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            names = ["anchor", "lone", "hot", "k1", "k2", "first", "windows", "lead", "body"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     contexts = docs.dropDuplicates(["k1", "k2"]).join(by_doc, ["k1", "k2"]).mapInArrow(
-        cut, "anchor long, lone boolean, hot boolean, k1 long, k2 long, first long, body binary"
+        cut, "anchor long, lone boolean, hot boolean, k1 long, k2 long, first long, windows int, lead int, body binary"
     )
     contexts = written(contexts, "contexts")
-    return spans.union(_by_suffix_array(contexts.filter("not hot"), length)).union(_by_window(contexts.filter("hot"), length))
+    return spans.union(_by_suffix_array(contexts.filter("not hot"), length, gram)).union(
+        _by_counting(contexts.filter("hot"), length, gram)
+    )
 
 
 def dedup_substrings(
