@@ -3,31 +3,32 @@
 The built-in exact percentile keeps a map of all distinct values of a group in one
 aggregation buffer. Here an approximate quantile first brackets the wanted order
 statistics; its rank error is at most rows / accuracy, so only about that many rows
-lie within a bracket. One aggregation then counts the rows below each bracket and
-the distinct values within it; only these few values are ordered.
+lie within a bracket. The rows below and within each bracket are then counted, which
+says for certain where the wanted ranks are: within the bracket, or, if the estimate
+was off, below or above it. Only values of that part are ordered. Nothing runs while
+the plan is built, and which side of a join is small is left to Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.operators.sequence import null_safe_on, small_side
+from fleetlog.operators.sequence import null_safe_on
 
 ACCURACY = 20_000
 
 
-def _brackets(value: str, probs: Sequence[float], accuracy: int) -> list[Column]:
-    margin = 4.0 / accuracy
-    wanted = [max(0.0, q - margin) for q in probs] + [min(1.0, q + margin) for q in probs]
-    return [
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, wanted, accuracy).alias("_approx"),
-    ]
+def _joined(rows: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group's only row in side."""
+    if not by:
+        only = side.select(F.struct(*side.columns)).scalar()
+        return rows.select("*", only.alias("_only")).select(*rows.columns, "_only.*")
+    named = side.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in side.columns if c not in by])
+    on = null_safe_on([rows[c] for c in by], [named[f"_by_{c}"] for c in by])
+    return rows.join(named, on).drop(*[f"_by_{c}" for c in by])
 
 
 def exact_quantiles(
@@ -38,57 +39,53 @@ def exact_quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group with columns q0, q1, ... : linearly interpolated quantiles."""
-    src = df.filter(F.col(value).isNotNull()).select(
-        *by, F.col(value).cast("double").alias("_v")
-    )
-    stats = src.groupBy(*by).agg(*_brackets("_v", probs, accuracy))
-    bracket = F.struct("_n", "_min", "_max", "_approx").alias("_b")
-    if by:
-        side = small_side(stats.select(*[F.col(c).alias(f"_by_{c}") for c in by], bracket))
-        on = null_safe_on([src[c] for c in by], [side[f"_by_{c}"] for c in by])
-        rows = src.join(side, on).select(*by, "_v", "_b")
-    else:
-        rows = src.select("_v", stats.select(bracket).scalar().alias("_b"))
+    by = list(by)
+    src = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    k, margin = len(probs), 4.0 / accuracy
+    wanted = [max(0.0, q - margin) for q in probs] + [min(1.0, q + margin) for q in probs]
+    approx = src.groupBy(*by).agg(F.percentile_approx("_v", wanted, accuracy).alias("_approx"))
 
-    k = len(probs)
-    # few rows: the margin could be less than one rank, so take them all
-    small = F.col("_b._n") <= 4 * accuracy
-    hits = []
-    for i in range(k):
-        low = F.when(small, F.col("_b._min")).otherwise(F.col("_b._approx")[i])
-        high = F.when(small, F.col("_b._max")).otherwise(F.col("_b._approx")[k + i])
-        within = F.when(F.col("_v") >= low, F.col("_v"))
-        hits.append(
-            F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("_i"), within.alias("_w")))
+    v = F.col("_v")
+    placed = _joined(src, approx, by)
+    counts = [F.count_if(v < F.col("_approx")[i]).alias(f"_below{i}") for i in range(k)]
+    counts += [F.count_if(v <= F.col("_approx")[k + i]).alias(f"_upto{i}") for i in range(k)]
+    counted = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.first("_approx").alias("_approx"), *counts)
+
+    # parts: 0 below the bracket, 1 within, 2 above; the two neighbouring ranks may be in two parts
+    brackets = []
+    for i, q in enumerate(probs):
+        place = F.lit(float(q)) * (F.col("_n") - 1)
+        low = F.floor(place)
+        high = F.least(low + 1, F.col("_n") - 1)
+        part = lambda rank, i=i: F.when(rank < F.col(f"_below{i}"), 0).when(rank < F.col(f"_upto{i}"), 1).otherwise(2)
+        base = F.when(part(low) == 0, 0).when(part(low) == 1, F.col(f"_below{i}")).otherwise(F.col(f"_upto{i}"))
+        brackets.append(
+            F.struct(
+                F.lit(i).alias("i"), F.col("_approx")[i].alias("low"), F.col("_approx")[k + i].alias("high"),
+                part(low).alias("first"), part(high).alias("last"), (low - base).alias("below"), (high - base).alias("above"),
+                (place - low).alias("share"),
+            )
         )
+    ranges = counted.select(*by, F.array(*brackets).alias("_b"))
+    mine = F.filter(
+        "_b",
+        lambda b: F.when(v < b["low"], 0).when(v <= b["high"], 1).otherwise(2).between(b["first"], b["last"]),
+    )
     cells = (
-        rows.select(*by, F.col("_b._n").alias("_n"), F.explode(F.array(*hits)).alias("_h"))
-        .filter(F.col("_h").isNotNull())
-        .groupBy(*by, "_h._i", "_h._w")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+        _joined(src, ranges, by).select(*by, "_v", F.explode(mine).alias("_b"))
+        .groupBy(*by, "_b.i", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_b").alias("_b"))
     )
     running = (
-        Window.partitionBy(*by, "_i").orderBy(F.col("_w").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    prob = F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("_i") + 1)
-    ranked = cells.select(
-        *by, "_i", "_w", "_n",
-        F.sum("_c").over(running).alias("_upto"),
-        (prob * (F.col("_n") - 1)).alias("_pos"),
+        Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    below, above = F.floor("_pos"), F.least(F.floor("_pos") + 1, F.col("_n") - 1)
-    points = ranked.groupBy(*by, "_i").agg(
-        F.max("_pos").alias("_pos"),
-        F.min(F.when(F.col("_upto") > below, F.col("_w"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > above, F.col("_w"))).alias("_hi"),
-        F.bool_or(F.col("_w").isNull() & (F.col("_upto") > below)).alias("_missed"),
+    ranked = cells.select(*by, "i", "_v", "_b", F.sum("_c").over(running).alias("_upto"))
+    points = ranked.groupBy(*by, "i").agg(
+        F.max("_b.share").alias("_share"),
+        F.min(F.when(F.col("_upto") > F.col("_b.below"), v)).alias("_lo"),
+        F.min(F.when(F.col("_upto") > F.col("_b.above"), v)).alias("_hi"),
     )
-    share = F.col("_pos") - F.floor("_pos")
-    point = F.when(
-        F.coalesce(F.col("_missed"), F.lit(False)) | F.col("_lo").isNull() | F.col("_hi").isNull(),
-        F.raise_error(F.lit("quantile outside its bracket: raise the accuracy")).cast("double"),
-    ).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share)
-    return points.select(*by, "_i", point.alias("_q")).groupBy(*by).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)]
+    point = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")
+    return points.select(*by, "i", point.alias("_q")).groupBy(*by).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)]
     )

@@ -58,13 +58,23 @@ def _run(rows: DataFrame, groups: list[str], value: str, order: Sequence[str], m
     )
 
 
+def _few_values(firsts: DataFrame, sizes: DataFrame, key: str, value: str, maxlen: int) -> DataFrame:
+    """Queues of keys that never overflow: their values in the order in which they came up."""
+    few = sizes.filter(F.col("_n") <= maxlen)
+    rows = firsts.join(few, firsts[key].eqNullSafe(few["_k"])).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_first", value))).alias("_seen")
+    )
+    return rows.select(key, F.transform("_seen", lambda x: x[value]).alias("recent"))
+
+
 def _run_hot(
     rows: DataFrame, hot: HotKeys, key: str, value: str, order: Sequence[str], maxlen: int
 ) -> DataFrame:
     """Queues of hot keys, segment by segment in parallel.
 
     The queue a segment starts from is not known before the segment in front of it is
-    done. All segments first start empty; then each one whose start turns out to differ
+    done. Keys that have no more values than the queue holds need no queue at all. The
+    segments of the others first start empty; then each one whose start turns out to differ
     from the end of its predecessor is run again, until none is left. The first segment
     of a key is right from the outset and each round settles at least one more, so the
     end is exact; queues that forget their start settle in two or three rounds. Starts
@@ -74,6 +84,11 @@ def _run_hot(
     path = new_run_dir(spark, "recent")
     cut_segments(rows, hot, [key], order[0], "inner").write.parquet(path)
     stored = spark.read.parquet(path)
+    firsts = stored.groupBy(key, value).agg(F.min(F.struct(*order)).alias("_first"))
+    sizes = firsts.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    few = _few_values(firsts, sizes, key, value, maxlen)
+    many = sizes.filter(F.col("_n") > maxlen)
+    stored = stored.join(many, stored[key].eqNullSafe(many["_k"]), "left_semi")
     queue = T.ArrayType(rows.schema[value].dataType)
     start_schema = T.StructType(
         [T.StructField("_k", rows.schema[key].dataType), T.StructField("_s", T.LongType()), T.StructField("_start", queue)]
@@ -97,7 +112,7 @@ def _run_hot(
             ends[(r[key], r[SEGMENT])] = list(r["recent"])
     last = {k: ends[(k, s)] for k, s in chain}
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("recent", queue)])
-    return spark.createDataFrame(list(last.items()), schema)
+    return spark.createDataFrame(list(last.items()), schema).unionByName(few)
 
 
 def recent_distinct(

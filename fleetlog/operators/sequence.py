@@ -38,17 +38,6 @@ def null_safe_on(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return cond
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_HOT) -> DataFrame:
-    """A join side for broadcast if it turns out small, else the frame itself.
-
-    Fetches at most max_rows + 1 rows; a small side is thereby computed only once.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 @dataclass(frozen=True)
 class HotKeys:
     """How hot keys are cut: start and width per hot key, then per burst, and so on.

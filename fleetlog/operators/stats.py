@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions.special import chi_square_p_value, correlation_p_value
 from fleetlog.operators.quantiles import exact_quantiles
-from fleetlog.operators.sequence import null_safe_on, small_side
+from fleetlog.operators.sequence import null_safe_on
 
 
 def corr_with_flag(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
@@ -142,10 +142,8 @@ def quantile_clip(df: DataFrame, col: str, upper: float = 0.95) -> DataFrame:
 def box_summary(df: DataFrame, group: str, col: str) -> DataFrame:
     """Quartiles and whiskers (outermost values within 1.5 interquartile ranges)."""
     quartiles = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=[group])
-    q = small_side(
-        quartiles.select(
-            F.col(group).alias("_g"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-        )
+    q = quartiles.select(
+        F.col(group).alias("_g"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(col)

@@ -84,9 +84,14 @@ class PollStore:
         return self.spark.read.schema(typed).parquet(f"{self.root}/{kind}/{table}")
 
     def open_rows(self, table: str, schema: T.StructType, at: Commit) -> DataFrame:
-        """Rows since the last compaction."""
-        part = self._part("open", table, schema)
-        return part.filter((F.col("batch") > at.closed_upto) & (F.col("batch") <= at.batch)).drop("batch")
+        """Rows since the last compaction. Only the folders of those batches are looked at, however many there are."""
+        folder = f"{self.root}/open/{table}"
+        # the empty folder -1 is always there; a batch without rows for the table has none
+        batches = ",".join(map(str, [-1, *range(at.closed_upto + 1, at.batch + 1)]))
+        return (
+            self.spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch={{{batches}}}")
+            .select(*schema.names)
+        )
 
     def read(self, table: str, schema: T.StructType, at: Commit | None = None) -> DataFrame:
         """All committed rows of a table."""

@@ -175,3 +175,13 @@ def test_normalize(spark):
     assert (a.bw_nvlink, a.disk_space, a.cpu_ram, a.pcie_bw, a.end_date, a.dph_base, a.gpu_name) == (20, 10, 2, 15, 86400, 12, "gpu")
     assert (b.rented, b.reliability, b.verification, b.country, b.isp) == (1, 0, 0, "US", "isp")
     assert (b.bw_nvlink, b.disk_space, b.cpu_ram, b.end_date, b.gpu_name) == (0, 100, 0, 0, "")
+
+
+def test_quantiles_of_a_bad_estimate(spark):
+    """An accuracy of 1 makes brackets that miss; the answer stays exact."""
+    rnd = random.Random(9)
+    xs = [rnd.choice([0.0, 1.0, rnd.gauss(0, 50)]) for _ in range(5000)]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = exact_quantiles(df, "v", [0.05, 0.5, 0.93], accuracy=1).first()
+    assert [got.q0, got.q1, got.q2] == pytest.approx([linear_quantile(xs, q) for q in (0.05, 0.5, 0.93)])
+    assert exact_quantiles(df.limit(0), "v", [0.5]).first().q0 is None
