@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from fleetlog.llm.hashing import runs, word_hashes
 
 FEATURES = [
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct_words",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alphanumeric", "n_distinct_words",
 ]
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -57,16 +57,16 @@ def features(text: str | None, hashes: np.ndarray) -> tuple[int, ...]:
     words = text.encode().split()
     chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
     lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
-    letters = len(text) - _non_letters(text)
+    alphanumeric = len(text) - _other_signs(text)
     return (
         len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes),
-        len(lines), letters, len(set(words)),
+        len(lines), alphanumeric, len(set(words)),
     )
 
 
-def _non_letters(text: str) -> int:
-    """Code points that are no letters; counted on the distinct ones."""
-    return sum(text.count(c) for c in set(text) if not c.isalpha())
+def _other_signs(text: str) -> int:
+    """Code points that are neither letters nor digits; counted on the distinct ones."""
+    return sum(text.count(c) for c in set(text) if not c.isalnum())
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in FEATURES]))
@@ -85,13 +85,13 @@ def rules(f: str) -> dict[str, Column]:
     words, chars = F.greatest(at("n_words"), F.lit(1)), F.greatest(at("word_chars"), F.lit(1))
     symbols, length = at("n_symbols") / words, at("word_chars") / words
     repeats, copies = at("n_repeat_words") / words, at("n_dup_lines") / F.greatest(at("n_lines"), F.lit(1))
-    letters, variety = at("n_letters") / chars, at("n_distinct_words") / words
+    plain, variety = at("n_alphanumeric") / chars, at("n_distinct_words") / words
     return {
         "symbols": _vote(symbols <= 0.1, symbols >= 0.3),
         "word_length": _vote(length.between(3, 7), (length < 2) | (length > 20)),
-        "repeats": _vote(repeats <= 0.05, repeats >= 0.2),
-        "line_copies": _vote(copies <= 0.1, copies >= 0.3),
-        "letters": _vote(letters >= 0.9, letters < 0.7),
+        "repeats": _vote(repeats <= 0.05, repeats >= 0.3),
+        "line_copies": _vote(copies <= 0.1, copies >= 0.5),
+        "plain_signs": _vote(plain >= 0.9, plain < 0.7),
         "variety": _vote((variety >= 0.5) | (words >= 1000), (variety < 0.2) & (words < 1000)),
     }
 

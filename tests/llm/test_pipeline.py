@@ -26,14 +26,14 @@ def quality_rows(rows):
     for _, t in rows:
         n, chars, symbols, copies, repeats = plain.quality_features(t)
         lines = sum(bool(plain.spaced(x)) for x in (t or "").split("\n"))
-        letters = sum(c.isalpha() for c in t or "")
+        plain_signs = sum(c.isalnum() for c in t or "")
         words, distinct = max(n, 1), len(set(plain.spaced(t)))
         votes.append((
             vote(symbols / words, lambda x: x <= 0.1, lambda x: x >= 0.3),
             vote(chars / words, lambda x: 3 <= x <= 7, lambda x: x < 2 or x > 20),
-            vote(repeats / words, lambda x: x <= 0.05, lambda x: x >= 0.2),
-            vote(copies / max(lines, 1), lambda x: x <= 0.1, lambda x: x >= 0.3),
-            vote(letters / max(chars, 1), lambda x: x >= 0.9, lambda x: x < 0.7),
+            vote(repeats / words, lambda x: x <= 0.05, lambda x: x >= 0.3),
+            vote(copies / max(lines, 1), lambda x: x <= 0.1, lambda x: x >= 0.5),
+            vote(plain_signs / max(chars, 1), lambda x: x >= 0.9, lambda x: x < 0.7),
             vote(distinct / words, lambda x: x >= 0.5 or words >= 1000, lambda x: x < 0.2 and words < 1000),
         ))
     patterns, counts = np.unique(np.array(votes), axis=0, return_counts=True)
