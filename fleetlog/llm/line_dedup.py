@@ -123,14 +123,16 @@ def dedup_lines(
     cut = cut.withColumn("clean", F.flatten(F.transform("kept", _lines)))
     full = F.col("text").isNotNull()
     zero = F.lit(0).cast("long")
-    return cut.select(
+    columns = [
         *[F.col("row")[c].alias(c) for c in others],
         F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join("clean", "\n")).alias(text_col),
         F.when(full, F.size("lines").cast("long")).otherwise(zero).alias("n_lines"),
         F.when(full, F.size("ends").cast("long")).otherwise(zero).alias("n_chunks"),
         F.size("gone").cast("long").alias("n_removed_chunks"),
         F.when(full, (F.size("lines") - F.size("clean")).cast("long")).otherwise(zero).alias("n_removed_lines"),
-    )
+    ]
+    # as rows of an array, so that a caller's filter is not pushed into the expressions above and computes them line by line
+    return cut.select(F.inline(F.array(F.struct(*columns))))
 
 
 ORACLE = f"""
