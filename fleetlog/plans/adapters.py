@@ -18,9 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---- events as observations of users -------------------------------------------------
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key user_id, time ts, tie-break event_id, values event_type, k, band, cents."""
-    return table(spark, sf_dir, "events").select(
+def observations(spark: SparkSession, sf_dir: str, since: int | None = None, before: int | None = None) -> DataFrame:
+    """key user_id, time ts, tie-break event_id, values event_type, k, band, cents.
+
+    since and before (epoch seconds) are compared to the stored time, which files can skip rows by.
+    """
+    events = table(spark, sf_dir, "events")
+    # a constant of the column's own type, or else the column is cast and nothing is skipped
+    at = lambda epoch: F.timestamp_seconds(F.lit(epoch)).cast(events.schema["ts"].dataType)
+    if since is not None:
+        events = events.filter(F.col("ts") >= at(since))
+    if before is not None:
+        events = events.filter(F.col("ts") < at(before))
+    return events.select(
         "user_id",
         epoch_seconds(F.col("ts")).alias("ts"),
         "event_id",

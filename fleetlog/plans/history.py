@@ -74,11 +74,10 @@ _CUT = 1_705_276_800
     WHERE ts >= {_CUT} AND (rn = 1 OR event_type <> p1)""",
 )
 def change_log_incremental(spark, sf):
-    obs = a.observations(spark, sf)
     order = ["ts", "event_id"]
-    state = changes.latest_snapshot(obs.filter(F.col("ts") < _CUT), ["user_id"], ["event_type"], order)
+    state = changes.latest_snapshot(a.observations(spark, sf, before=_CUT), ["user_id"], ["event_type"], order)
     return changes.change_log(
-        obs.filter(F.col("ts") >= _CUT), ["user_id"], ["event_type"], order, state, keep=["event_id"]
+        a.observations(spark, sf, since=_CUT), ["user_id"], ["event_type"], order, state, keep=["event_id"]
     )
 
 
@@ -99,9 +98,9 @@ def latest_snapshot(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
 )
 def snapshot_upsert(spark, sf):
-    obs, cols, order = a.observations(spark, sf), ["event_type", "k"], ["ts", "event_id"]
-    old = changes.latest_snapshot(obs.filter(F.col("ts") < _CUT), ["user_id"], cols, order)
-    new = changes.latest_snapshot(obs.filter(F.col("ts") >= _CUT), ["user_id"], cols, order)
+    cols, order = ["event_type", "k"], ["ts", "event_id"]
+    old = changes.latest_snapshot(a.observations(spark, sf, before=_CUT), ["user_id"], cols, order)
+    new = changes.latest_snapshot(a.observations(spark, sf, since=_CUT), ["user_id"], cols, order)
     return changes.upsert(old, changes.changed_in_poll(new, ["user_id"], cols, old), ["user_id"])
 
 

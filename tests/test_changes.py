@@ -118,3 +118,14 @@ def test_change_counts(spark):
     a = frame(spark, [(1,), (2,)], "x long")
     got = rows(changes.change_counts({"a": a, "b": a.filter("x > 5")}))
     assert got == [("a", 2), ("b", 0), ("total", 2)]
+
+
+def test_plan_of_an_increment(spark, sf_dir):
+    """The state joins the window's one shuffle, and the time filter reaches the files."""
+    from fleetlog.plans.catalog import QUERIES
+
+    plan = QUERIES["change_log_incremental"](spark, sf_dir)._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # the state's own and the window's
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
