@@ -43,6 +43,8 @@ from fleetlog.llm.piece_bpe import byte_characters
 # Entries of the transition table per Python worker (4 bytes each); it starts afresh when full.
 TABLE_ENTRIES = 24_000_000
 CHUNK = 256
+# Different signs that the table tells apart at a time.
+MAX_SYMBOLS = 4096
 WORD_END = "</w>"
 # Added to the last byte of a word; symbols are characters below 512.
 _END = 256
@@ -137,10 +139,7 @@ class Transducer:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kinds = character_classes()
         self.entries = entries
-        self.symbol = np.zeros(0x110000, np.int32)  # 0: not met; 1: all white space
-        self.symbol[self.kinds == SPACE] = 1
-        self.points = [-1, 0x20]  # code point of each symbol
-        self.width = 64
+        self._no_symbols()
         self._reset()
 
     # -- states ---------------------------------------------------------------
@@ -230,18 +229,30 @@ class Transducer:
             found = self.table.ravel()[states * self.width + symbols]
         return found
 
+    def _no_symbols(self) -> None:
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: not met; 1: all white space
+        self.symbol[self.kinds == SPACE] = 1
+        self.points = [-1, 0x20]  # code point of each symbol
+        self.width = 64
+
     def _symbols(self, points: np.ndarray) -> np.ndarray:
         out = self.symbol[points]
-        if not out.all():
-            for p in np.unique(points[out == 0]):
-                self.symbol[p] = len(self.points)
-                self.points.append(int(p))
-            out = self.symbol[points]
+        if out.all():
+            return out
+        new = np.unique(points[out == 0])
+        if len(self.points) + len(new) > MAX_SYMBOLS:
+            self._no_symbols()
+            self._reset()
+            new = np.unique(points[self.symbol[points] == 0])
+            if len(self.points) + len(new) > MAX_SYMBOLS:
+                raise TableFull
+        self.symbol[new] = np.arange(len(self.points), len(self.points) + len(new))
+        self.points.extend(new.tolist())
         if len(self.points) > self.width:
             while self.width < len(self.points):
                 self.width *= 2
             self._reset()
-        return out
+        return self.symbol[points]
 
     # -- texts ----------------------------------------------------------------
 

@@ -62,6 +62,14 @@ def test_transducer_with_a_small_table(library):
     assert small.counts(ODD).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in ODD]
 
 
+def test_transducer_with_very_many_signs(library):
+    """More different signs than the table holds, in one text and over several."""
+    texts = ["".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "".join(map(chr, range(0xAC00, 0xAC00 + 3000))), "plain", "".join(map(chr, range(0x5000, 0x5000 + 3000)))]
+    count = token_fst.Transducer(WORDS)
+    assert count.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert count.width <= token_fst.MAX_SYMBOLS
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abeilrstv'.,7 \né#")), max_size=5))
 def test_transducer_on_any_text(counter, library, texts):
