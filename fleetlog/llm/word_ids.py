@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 
 # Pre-tokens and words kept per Python worker; a table is emptied when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 # str.split() takes these for white space, the vocabularies do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # Texts of Latin letters: the same composed or not, lower case is taken letter by letter.
