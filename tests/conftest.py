@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from fleetlog.session import local_session  # noqa: E402
 
@@ -21,9 +22,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SMALL
-
-
-def rows(df, *cols):
-    """Rows as sorted tuples, nulls first."""
-    df = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: [(x is not None, x) for x in t])
