@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import id_shards, lang_id, line_dedup, mtree, packing, part_enum, piece_bpe, quality, suffix_dedup, token_fst
+from fleetlog.llm import cross_polytope, id_shards, lang_id, line_dedup, mtree, packing, part_enum, piece_bpe, quality, ranked_search, suffix_dedup, token_fst
 from fleetlog.llm.frames import load
 from fleetlog.session import new_run_dir
 
@@ -84,11 +84,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return cross_polytope.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    index = ranked_search.build(load(spark, sf_dir, "documents"))
+    return ranked_search.search(index, load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_top_k, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op7_suffix_dedup,
-        op8_packing, op9_byte_bpe, op10_language_id,
+        op8_packing, op9_byte_bpe, op10_language_id, op11_neighbours, op13_ranked_search,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_top_k": mtree.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_top_k": mtree.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
