@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import cross_polytope, id_shards, lang_id, line_dedup, mtree, packing, part_enum, piece_bpe, quality, ranked_search, suffix_dedup, token_fst
+from fleetlog.llm import cross_polytope, divergence, id_shards, lang_id, line_dedup, mtree, packing, part_enum, piece_bpe, quality, ranked_search, suffix_dedup, token_fst
 from fleetlog.llm.frames import load
 from fleetlog.session import new_run_dir
 
@@ -90,6 +90,11 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of a language and the terms they stand out by."""
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for every benchmark item."""
     index = ranked_search.build(load(spark, sf_dir, "documents"))
@@ -99,8 +104,8 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_top_k, op3_token_counts, op4_id_shards, op5_quality_rules, op6_ngram_jaccard, op7_suffix_dedup,
-        op8_packing, op9_byte_bpe, op10_language_id, op11_neighbours, op13_ranked_search,
+        op8_packing, op9_byte_bpe, op10_language_id, op11_neighbours, op12_source_divergence, op13_ranked_search,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_top_k": mtree.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_top_k": mtree.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
