@@ -22,17 +22,19 @@ single document beyond that is a page of its own).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlog.llm.frames import written
 from fleetlog.llm.terms import WORDS_AND_NUMBERS
 
+# At most 65,535, as places in a page have two bytes.
 PAGE_DOCS = 4096
 PAGE_POSTINGS = 1 << 17
 # Rows (query, term) of a block of queries.
@@ -40,7 +42,7 @@ BLOCK_TERMS = 200_000
 # Pages that a query visits first.
 SEED_PAGES = 4
 # Terms whose document counts a task holds before it hands them on.
-HELD_TERMS = 1 << 20
+HELD_TERMS = 1 << 17
 # Pages of a batch; with the bounds above some 30 MB.
 BATCH_PAGES = 32
 # Fixed values of the score.
@@ -55,6 +57,18 @@ _NAMES = [x.split()[0] for x in _PAGE.split(", ")]
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 9]
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of `BATCH_PAGES` rows: a page is much larger than a text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_PAGES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def count_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document with terms: a number of its own, id, length, terms and their counts."""
 
@@ -67,7 +81,7 @@ def count_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = WORDS_AND_NUMBERS.count(text)
                 if found:
-                    tfs = np.fromiter(found.values(), "<i8", len(found))
+                    tfs = np.fromiter(found.values(), "<i4", len(found))
                     out.append((number, doc_id, int(tfs.sum()), b" ".join(found), tfs.tobytes()))
                     number += 1
             columns = list(zip(*out)) or [()] * 5
@@ -85,9 +99,9 @@ def make_page(number: int, m: int, docs: list[dict]) -> dict:
     for i, row in enumerate(docs):
         own = [words.setdefault(t, len(words)) for t in row["terms"].split(b" ")]
         term.append(np.array(own, np.int64))
-        tf.append(np.frombuffer(row["tfs"], "<i8"))
+        tf.append(np.frombuffer(row["tfs"], "<i4"))
         doc.append(np.full(len(own), i, np.int32))
-    term, tf, doc = np.concatenate(term), np.concatenate(tf), np.concatenate(doc)
+    term, tf, doc = np.concatenate(term), np.concatenate(tf).astype(np.int64), np.concatenate(doc)
     order = np.lexsort((doc, -tf, term))
     term, tf, doc = term[order], tf[order], doc[order]
     begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])]))
@@ -96,10 +110,10 @@ def make_page(number: int, m: int, docs: list[dict]) -> dict:
     return {
         "page": number, "m": m, "docs": len(docs),
         "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "named": np.array([i is not None for i in ids], bool).tobytes(),
-        "terms": b" ".join(words), "dfs": np.bincount(term, minlength=len(words)).astype("<i4").tobytes(),
-        "top": tf[begins[runs[:-1]]].astype("<i8").tobytes(), "runs": runs.astype("<i4").tobytes(),
-        "run_tf": tf[begins].astype("<i8").tobytes(), "run_docs": np.append(begins, len(doc)).astype("<i4").tobytes(),
-        "postings": doc.astype("<i4").tobytes(),
+        "terms": b" ".join(words), "dfs": np.bincount(term, minlength=len(words)).astype("<u2").tobytes(),
+        "top": tf[begins[runs[:-1]]].astype("<i4").tobytes(), "runs": runs.astype("<i4").tobytes(),
+        "run_tf": tf[begins].astype("<i4").tobytes(), "run_docs": np.append(begins, len(doc)).astype("<i4").tobytes(),
+        "postings": doc.astype("<u2").tobytes(),
     }
 
 
@@ -113,7 +127,7 @@ def make_pages(placed: DataFrame, page_docs: int, page_postings: int) -> DataFra
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                added = len(row["tfs"]) // 8
+                added = len(row["tfs"]) // 4
                 if held and (row["m"] != held[0]["m"] or len(held) == page_docs or size + added > page_postings):
                     done.append(make_page(number, held[0]["m"], held))
                     number, held, size = number + 1, [], 0
@@ -139,7 +153,7 @@ def _document_counts(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for terms, dfs in zip(batch.column("terms").to_pylist(), batch.column("dfs").to_pylist()):
-                for term, df in zip(terms.split(b" "), np.frombuffer(dfs, "<i4").tolist()):
+                for term, df in zip(terms.split(b" "), np.frombuffer(dfs, "<u2").tolist()):
                     held[term] = held.get(term, 0) + df
                 if len(held) > HELD_TERMS:
                     yield table()
@@ -164,6 +178,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_
     Every row with at least one term is a document, repeated rows each. Null texts have
     no terms. Other columns are not looked at.
     """
+    if not 0 < page_docs < 1 << 16:
+        raise ValueError("page_docs must be between 1 and 65535")
     spark = docs.sparkSession
     counted = written(count_terms(docs, id_col, text_col), "search-documents")
     documents, length = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -173,7 +189,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_
     placed = counted.select(m.alias("m"), "row", "doc_id", "terms", "tfs")
     placed = placed.repartitionByRange(parts, "m", "row").sortWithinPartitions("m", "row")
     pages = written(make_pages(placed.drop("row"), page_docs, page_postings), "search-pages")
-    return Index(pages, written(_document_counts(pages), "search-counts"), documents, length)
+    with short_batches(spark):
+        counts = written(_document_counts(pages), "search-counts")
+    return Index(pages, counts, documents, length)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,7 +233,7 @@ class Block:
     def bounds(self, m: int, terms: bytes, top: bytes) -> np.ndarray:
         """The most that a document of the page can score, for each query."""
         number, place = self.present(terms)
-        most = self.weight[number] * impact(np.frombuffer(top, "<i8")[place], m)
+        most = self.weight[number] * impact(np.frombuffer(top, "<i4")[place].astype(np.int64), m)
         out = np.zeros(len(self.items), np.int64)
         sizes = self.user_at[number + 1] - self.user_at[number]
         at = np.repeat(self.user_at[number] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
@@ -234,7 +252,7 @@ class Page:
         self.row, self.size = row, row["docs"]
         number, place = block.present(row["terms"])
         runs, self.run_docs = np.frombuffer(row["runs"], "<i4"), np.frombuffer(row["run_docs"], "<i4")
-        tf, self.postings = np.frombuffer(row["run_tf"], "<i8"), np.frombuffer(row["postings"], "<i4")
+        tf, self.postings = np.frombuffer(row["run_tf"], "<i4").astype(np.int64), np.frombuffer(row["postings"], "<u2")
         self.parts = {}
         for no, at in zip(number.tolist(), place.tolist()):
             first, last = runs[at], runs[at + 1]
@@ -357,10 +375,7 @@ def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id
     asked = written(asked.select("item", "term", weight.alias("weight")), "search-queries")
     blocks = -(-asked.count() // block_terms)
     found = None
-    # short batches: a page is much larger than a text
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
-    try:
+    with short_batches(spark):
         for no in range(blocks):
             own = asked.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == no).orderBy("item", "term").toArrow()
             block = Block(*[own.column(c).to_pylist() for c in ("item", "term", "weight")])
@@ -370,8 +385,6 @@ def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id
             part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             part = written(part.join(names, "item").select("item_id", "rank", "doc_id", "score"), "search-found")
             found = part if found is None else found.union(part)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     if found is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return found

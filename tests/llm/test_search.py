@@ -259,7 +259,7 @@ def test_search_of_nothing(spark):
 
 def test_visits_are_left_out(spark):
     """Only pages whose bound can reach the best score are opened."""
-    docs = [{"doc_id": i, "terms": b"rare common" if i == 0 else b"common", "tfs": np.ones(2 if i == 0 else 1, "<i8").tobytes()} for i in range(20)]
+    docs = [{"doc_id": i, "terms": b"rare common" if i == 0 else b"common", "tfs": np.ones(2 if i == 0 else 1, "<i4").tobytes()} for i in range(20)]
     block = ranked_search.Block([1, 1], [b"rare", b"common"], [900, 10])
     pages = [ranked_search.make_page(n, 100, docs[n * 5 : n * 5 + 5]) for n in range(4)]
     bounds = [int(block.bounds(p["m"], p["terms"], p["top"])[0]) for p in pages]
