@@ -43,7 +43,7 @@ BLOCK_TERMS = 200_000
 SEED_PAGES = 4
 # Terms whose document counts a task holds before it hands them on.
 HELD_TERMS = 1 << 17
-# Pages of a batch; with the bounds above some 30 MB.
+# Pages, or documents that become pages, in a batch: a few MB.
 BATCH_PAGES = 32
 # Fixed values of the score.
 BASE, SPREAD, SHARE, TF_FACTOR, M_FACTOR, WEIGHT = 50, 50, 1_000_000_000, 1000, 20, 1000
@@ -188,8 +188,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = counted.select(m.alias("m"), "row", "doc_id", "terms", "tfs")
     placed = placed.repartitionByRange(parts, "m", "row").sortWithinPartitions("m", "row")
-    pages = written(make_pages(placed.drop("row"), page_docs, page_postings), "search-pages")
     with short_batches(spark):
+        pages = written(make_pages(placed.drop("row"), page_docs, page_postings), "search-pages")
         counts = written(_document_counts(pages), "search-counts")
     return Index(pages, counts, documents, length)
 
