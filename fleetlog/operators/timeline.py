@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions.numeric import day_number, epoch_to_date
 from fleetlog.operators.changes import change_log
-from fleetlog.operators.polls import poll_index, poll_neighbours
+from fleetlog.operators.polls import poll_index, poll_neighbours, polls_before
 from fleetlog.operators.sequence import HOT_ROWS, HotKeys, hot_keys, with_last_known, with_neighbours
 
 
@@ -287,5 +287,29 @@ def zero_counts(dense: DataFrame, key: str, col: str) -> DataFrame:
     )
 
 
+def zero_counts_of_log(
+    log: DataFrame, key: str, col: str, polls: DataFrame, ts: str = "timestamp",
+    hot_rows: int = HOT_ROWS, hot: HotKeys | None = None,
+) -> DataFrame:
+    """The same from the log itself: a value counts for as many polls as its interval holds.
+
+    No row is made per key and poll. The log has at most one row per key and time.
+    """
+    times = polls_before(log, polls, ts).withColumnRenamed(ts, "_at")
+    total = poll_index(polls, ts).agg(F.count(F.lit(1)).alias("n")).scalar()
+    # the count of the earlier polls travels with the row, so the next row's is at hand
+    placed = log.select(key, col, ts).join(times, F.col(ts) == F.col("_at")).drop("_at")
+    seq = with_neighbours(placed, [key], [ts], next=["polls_before"], hot_rows=hot_rows, hot=hot)
+    held = F.coalesce(F.col("_next.polls_before"), F.col("_total")) - F.col("polls_before")
+    seq = seq.withColumn("_total", total).withColumn("_polls", held)
+    zeros = F.coalesce(F.sum(F.when(F.col(col) == 0, F.col("_polls"))), F.lit(0))
+    return seq.groupBy(key).agg(
+        F.max("_total").cast("long").alias("n_polls"),
+        zeros.alias("n_zero"),
+        (zeros > 0).alias("any_zero"),
+        F.coalesce(F.sum(F.when(F.col(col) != 0, F.col("_polls"))), F.lit(0)).alias("n_nonzero"),
+    )
+
+
 def changes_per_day(log: DataFrame, ts: str = "timestamp") -> DataFrame:
     return log.groupBy(day_number(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n_changes"))

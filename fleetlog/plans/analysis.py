@@ -8,6 +8,8 @@ from fleetlog.functions.text import country_from_place
 from fleetlog.operators import changes, profile, stats
 from fleetlog.plans import adapters as a
 from fleetlog.plans.registry import query
+from fleetlog.session import new_run_dir
+from fleetlog.sources import bucketed
 
 OBS = a.OBS
 
@@ -55,6 +57,49 @@ def wide_join(spark, sf):
     )
 
 
+# ---- the same joins on tables laid out by key ----------------------------------------------
+_BUCKETS = 16
+
+
+def _laid_out(spark, sf, name, key, rename=None):
+    """A table bucketed by a key of its own, below the shared folder; the columns keep their names but the key."""
+    df = a.table(spark, sf, name)
+    if rename:
+        df = df.withColumnRenamed(key, rename)
+    path = new_run_dir(spark, f"bucketed-{name}")
+    return bucketed.write_bucketed(df, f"fleetlog_{path.rsplit('-', 1)[1]}", [rename or key], _BUCKETS, path)
+
+
+@query(
+    "wide_join_bucketed",
+    """SELECT l_orderkey, count(*) AS n_lines, round(sum(l_quantity), 2) AS quantity, max(o_totalprice) AS o_totalprice,
+         max(o_custkey) AS o_custkey
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""",
+)
+def wide_join_bucketed(spark, sf):
+    lines = _laid_out(spark, sf, "lineitem", "l_orderkey")
+    orders = _laid_out(spark, sf, "orders", "o_orderkey", "l_orderkey").select("l_orderkey", "o_totalprice", "o_custkey")
+    joined = bucketed.join_co_located([lines.select("l_orderkey", "l_quantity"), orders], ["l_orderkey"])
+    return joined.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"),
+        F.max("o_totalprice").alias("o_totalprice"), F.max("o_custkey").alias("o_custkey"),
+    )
+
+
+@query(
+    "join_last_bucketed",
+    """WITH j AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, c_acctbal, c_mktsegment
+                 FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_custkey, o_orderkey, o_totalprice, c_acctbal, c_mktsegment FROM j
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+)
+def join_last_bucketed(spark, sf):
+    orders = _laid_out(spark, sf, "orders", "o_custkey")
+    customers = _laid_out(spark, sf, "customer", "c_custkey", "o_custkey").select("o_custkey", "c_acctbal", "c_mktsegment")
+    last = changes.latest_snapshot(orders, ["o_custkey"], ["o_orderkey", "o_totalprice"], ["o_orderdate", "o_orderkey"])
+    return bucketed.join_co_located([last, customers], ["o_custkey"])
+
+
 _FREQUENT = """freq AS (SELECT c_nationkey, count(*) AS n FROM customer
   WHERE c_acctbal > 0 AND c_mktsegment <> 'MACHINERY' GROUP BY c_nationkey HAVING count(*) > 45)"""
 

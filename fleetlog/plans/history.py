@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlog.operators import changes, polls, presence, rollup, timeline
+from fleetlog.operators import changes, children, polls, presence, rollup, timeline
 from fleetlog.operators.sequence import hot_keys
 from fleetlog.plans import adapters as a
 from fleetlog.plans.registry import query
@@ -126,6 +126,51 @@ def child_set_snapshot(spark, sf):
     return changes.child_set_snapshot(snap, poll, "l_partkey", "l_suppkey")
 
 
+# All ship dates as polls: lines of a supplier, children by line number.
+_CHILD_COLS = ["l_returnflag", "l_linestatus"]
+_CHILD_SETS = """WITH RECURSIVE listed AS (
+  SELECT l_suppkey, CAST(l_linenumber AS BIGINT) AS line, CAST(epoch(l_shipdate) AS BIGINT) AS ts,
+         max({'f': l_returnflag, 's': l_linestatus}) AS v FROM lineitem GROUP BY ALL),
+polls AS (
+  SELECT l_suppkey, ts, row_number() OVER (PARTITION BY l_suppkey ORDER BY ts) AS no, list({'c': line, 'v': v}) AS now
+  FROM listed GROUP BY l_suppkey, ts),
+folded AS (
+  SELECT l_suppkey, ts, no, now, [] :: STRUCT(c BIGINT, v STRUCT(f VARCHAR, s VARCHAR))[] AS held, now AS after FROM polls WHERE no = 1
+  UNION ALL
+  SELECT p.l_suppkey, p.ts, p.no, p.now, f.after,
+         CASE WHEN len(list_filter(f.after, lambda x: list_contains(list_transform(p.now, lambda y: y.c), x.c))) > 0
+              THEN list_filter(f.after, lambda x: list_contains(list_transform(p.now, lambda y: y.c), x.c)) ELSE p.now END
+  FROM folded f JOIN polls p ON p.l_suppkey = f.l_suppkey AND p.no = f.no + 1)"""
+
+
+def _child_sets(spark, sf):
+    value = F.max(F.struct(*_CHILD_COLS)).alias("_v")
+    lines = a.table(spark, sf, "lineitem").groupBy(
+        "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), a.epoch_seconds(F.col("l_shipdate")).alias("ts")
+    ).agg(value)
+    return children.child_sets(lines.select("l_suppkey", "line", "ts", "_v.*"), "l_suppkey", "line", _CHILD_COLS, "ts")
+
+
+@query(
+    "child_set_log",
+    _CHILD_SETS + """, new AS (
+  SELECT l_suppkey, ts, unnest(list_filter(now, lambda x: NOT list_contains(held, x))) AS x FROM folded)
+SELECT l_suppkey, x.c AS line, x.v.f AS l_returnflag, x.v.s AS l_linestatus, ts FROM new""",
+)
+def child_set_log(spark, sf):
+    return _child_sets(spark, sf)[0]
+
+
+@query(
+    "child_set_latest",
+    _CHILD_SETS + """, last AS (
+  SELECT l_suppkey, unnest(after) AS x FROM folded QUALIFY no = max(no) OVER (PARTITION BY l_suppkey))
+SELECT l_suppkey, x.c AS line, x.v.f AS l_returnflag, x.v.s AS l_linestatus FROM last""",
+)
+def child_set_latest(spark, sf):
+    return _child_sets(spark, sf)[1]
+
+
 _LOG_COLS = ("event_type", "band", "k")
 
 
@@ -248,7 +293,7 @@ def densify(spark, sf):
     FROM dense GROUP BY user_id""",
 )
 def zero_counts(spark, sf):
-    return timeline.zero_counts(densify(spark, sf), "user_id", "band")
+    return timeline.zero_counts_of_log(_purchase_log(spark, sf), "user_id", "band", a.poll_times(spark, sf), "ts")
 
 
 _ALIGN_ROLES = {

@@ -10,7 +10,7 @@ from fleetlog.plans.registry import query
 from fleetlog.session import new_run_dir
 from fleetlog.sources.store import PollStore
 from fleetlog.sources.tables import first_last
-from fleetlog.streaming import update
+from fleetlog.streaming import registry, update
 from fleetlog.streaming.rollup import stream_period_avg_std as stream_rollup
 
 OBS = a.OBS
@@ -110,3 +110,44 @@ def stream_period_avg_std(spark, sf):
     )
     done.awaitTermination()
     return spark.read.schema(rolled.schema).parquet(f"{run}/out")
+
+
+# ---- live keyed state ----------------------------------------------------------------------
+def _followed(stream, run: str, mode: str):
+    """Run a stream over what is there into a folder per batch, and read all of it."""
+    out = f"{run}/out"
+
+    def on_batch(df, batch: int) -> None:  # a batch that is run again replaces its own folder
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    done = (
+        stream.writeStream.outputMode(mode).foreachBatch(on_batch)
+        .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/batch=*").select(*stream.columns)
+
+
+def _table_stream(spark, sf, name):
+    schema = a.table(spark, sf, name).schema
+    return registry.use_rocksdb(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query("stream_ts_index", f"WITH {a.SIGHTINGS} SELECT DISTINCT ts FROM seen")
+def stream_ts_index(spark, sf):
+    poll = (F.floor(a.epoch_seconds(F.col("ts")) / a.POLL_SECONDS) * a.POLL_SECONDS).cast("long")
+    events = _table_stream(spark, sf, "events").select(poll.alias("ts"))
+    return _followed(registry.live_index(events, "ts"), new_run_dir(spark, "live-index"), "append")
+
+
+@query(
+    "stream_first_wins_map",
+    """SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority
+       FROM orders GROUP BY o_custkey""",
+)
+def stream_first_wins_map(spark, sf):
+    order = ["o_orderdate", "o_orderkey"]
+    orders = _table_stream(spark, sf, "orders").select("o_custkey", "o_orderpriority", *order)
+    firsts = registry.live_first_wins(orders, "o_custkey", "o_orderpriority", order)
+    updates = _followed(firsts, new_run_dir(spark, "live-map"), "update")
+    return registry.latest_update(updates, "o_custkey", order).select("o_custkey", "o_orderpriority")
