@@ -41,6 +41,40 @@ def period_avg_std(
     )
 
 
+def moments(df: DataFrame, key: str, cols: Sequence[str], ts: str = "timestamp", period: int = 86_400) -> DataFrame:
+    """Count, sum and sum of squares per key, period and column; whole numbers, exact.
+
+    They can be added up: moments of parts of a period make those of the period, so a
+    buffer of them holds one row per key and part in place of the raw rows.
+    """
+    wide, whole = "decimal(38,0)", "decimal(19,0)"
+    aggs = []
+    for c in cols:
+        v = F.col(c).cast(whole)
+        aggs += [F.count(c).alias(f"{c}_n"), F.sum(v.cast(wide)).cast(wide).alias(f"{c}_sum"), F.sum((v * v).cast(wide)).cast(wide).alias(f"{c}_sq")]
+    return df.groupBy(key, period_end(F.col(ts), period).alias(ts)).agg(*aggs)
+
+
+def merge_moments(parts: DataFrame, key: str, cols: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Moments of whole periods from those of parts."""
+    wide = "decimal(38,0)"
+    aggs = [F.sum(f"{c}_n").alias(f"{c}_n") for c in cols]
+    aggs += [F.sum(f"{c}_{m}").cast(wide).alias(f"{c}_{m}") for c in cols for m in ("sum", "sq")]
+    return parts.groupBy(key, ts).agg(*aggs)
+
+
+def moments_avg_std(merged: DataFrame, key: str, cols: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Rounded mean and population deviation from moments."""
+    out = []
+    for c in cols:
+        n, total, squares = F.col(f"{c}_n"), F.col(f"{c}_sum"), F.col(f"{c}_sq")
+        out.append(F.round(F.try_divide(total.cast("double"), n)).cast("long").alias(f"{c}_avg"))
+        # n * squares - total^2 in whole numbers: no cancellation
+        spread = (n.cast("decimal(19,0)") * squares).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")
+        out.append(F.round(F.try_divide(F.sqrt(spread.cast("double")), n), 2).alias(f"{c}_std"))
+    return merged.select(key, *out, ts)
+
+
 def daily_resample(df: DataFrame, key: str, cols: Sequence[str], ts: str = "timestamp") -> DataFrame:
     """Mean and sample deviation per key and calendar day [00:00, 24:00)."""
     aggs = []

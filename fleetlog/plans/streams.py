@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlog.plans import adapters as a
+from fleetlog.plans import listing
 from fleetlog.plans.history import _PRESENCE, _avg_std_sql, _period_sql
 from fleetlog.plans.registry import query
 from fleetlog.session import new_run_dir
@@ -42,16 +43,32 @@ POLL_ROWS = f"""{OBS}, poll_rows AS (
   FROM obs GROUP BY 1, 2)"""
 
 
+def _rejects(spark, sf):
+    """The payloads that are turned away, as another query finds them."""
+    found = listing.payload_rejects(spark, sf).select("arrived", F.col("event_id").cast("string").alias("source"), "reason")
+    return _landed(found, "rejects")
+
+
+def _landed(df, name):
+    """Written once and read by every batch."""
+    path = new_run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_updates(spark, sf) -> tuple[PollStore, object]:
     """Bring all tables up to date in a few batches of polls, as a backlog would."""
-    rows = poll_rows(spark, sf)
+    rows = _landed(poll_rows(spark, sf), "polls")
     store = PollStore(spark, new_run_dir(spark, "tables"))
     update.create_tables(store, rows.schema, EVENTS_FLEET)
+    refused = _rejects(spark, sf)
     ends = first_last(rows, "ts").first()
     width = (ends["timespan"] + BATCHES) // BATCHES
     for i in range(BATCHES):
         low = ends["first_ts"] + i * width
-        update.update_all(store, rows.filter(F.col("ts").between(low, low + width - 1)), i, EVENTS_FLEET)
+        upto = low + width - 1 if i < BATCHES - 1 else None
+        part = lambda df, at: df.filter(F.col(at) >= (low if i else 0)).filter(F.col(at) <= upto if upto else F.lit(True))
+        update.update_all(store, part(rows, "ts"), i, EVENTS_FLEET, part(refused, "arrived"))
     return store, rows.schema
 
 
@@ -64,13 +81,23 @@ measures AS (
   ),
 hosts AS (SELECT user_id, arg_min(event_type, ts) AS event_type, min(ts) AS ts FROM poll_rows GROUP BY user_id),
 ends AS (SELECT *, CAST(ceil(ts / {EVENTS_FLEET.period}.0) * {EVENTS_FLEET.period} AS BIGINT) AS e FROM poll_rows),
-avgs AS (SELECT user_id, CAST(round(avg(cents)) AS BIGINT) AS m, e FROM ends WHERE e < (SELECT max(e) FROM ends) GROUP BY user_id, e)
-SELECT 'kind' AS table_name, user_id, event_type AS value, ts FROM kind
-UNION ALL SELECT 'measures', user_id, concat(band, '|', k), ts FROM measures
-UNION ALL SELECT 'host_map', user_id, event_type, ts FROM hosts
-UNION ALL SELECT 'online', user_id, CAST(online AS VARCHAR), ts FROM log
-UNION ALL SELECT 'avg', user_id, CAST(m AS VARCHAR), e FROM avgs
-UNION ALL SELECT 'ts_idx', NULL, NULL, ts FROM polls"""
+avgs AS (
+  SELECT user_id, concat(CAST(round(avg(cents)) AS BIGINT), '|', CAST(round(stddev_pop(cents) * 100) AS BIGINT)) AS m, e
+  FROM ends WHERE e < (SELECT max(e) FROM ends) GROUP BY user_id, e),
+refused AS (
+  SELECT CAST(event_id AS VARCHAR) AS source, CAST(floor(epoch(ts)) AS BIGINT) + 5 AS arrived,
+         CASE event_type WHEN 'error' THEN 'not json' WHEN 'signup' THEN 'no offers' ELSE 'empty offers' END AS reason
+  FROM events WHERE event_type IN ('error', 'signup', 'view')),
+tables AS (
+  SELECT 'kind' AS table_name, user_id, event_type AS value, ts FROM kind
+  UNION ALL SELECT 'measures', user_id, concat(band, '|', k), ts FROM measures
+  UNION ALL SELECT 'host_map', user_id, event_type, ts FROM hosts
+  UNION ALL SELECT 'online', user_id, CAST(online AS VARCHAR), ts FROM log
+  UNION ALL SELECT 'avg', user_id, m, e FROM avgs
+  UNION ALL SELECT 'ts_idx', NULL, NULL, ts FROM polls)
+SELECT * FROM tables
+UNION ALL SELECT 'rejects', NULL, concat(source, '|', reason), arrived FROM refused
+UNION ALL SELECT 'counts', NULL, concat(table_name, '|', count(*)), NULL FROM tables GROUP BY table_name"""
 ).replace("k IS DISTINCT FROM lag(k) OVER w\n  )", "k IS DISTINCT FROM lag(k) OVER w)").replace(
     "SELECT * FROM poll_rows QUALIFY row_number() OVER w", "SELECT * FROM poll_rows WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY row_number() OVER w"
 )
@@ -79,21 +106,30 @@ UNION ALL SELECT 'ts_idx', NULL, NULL, ts FROM polls"""
 @query("update_all_tables", _ALL_TABLES)
 def update_all_tables(spark, sf):
     store, rows = run_updates(spark, sf)
+    at = store.last_commit()
     values = {
         "kind": F.col("event_type"),
         "measures": F.concat_ws("|", "band", "k"),
         "host_map": F.col("event_type"),
         "online": F.col("online").cast("string"),
-        "avg": F.col("cents_avg").cast("string"),
+        "avg": F.concat_ws("|", "cents_avg", F.round(F.col("cents_std") * 100).cast("long")),
     }
-    out = update.read_table(store, "ts_idx", rows, EVENTS_FLEET).select(
+    out = update.read_table(store, "ts_idx", rows, EVENTS_FLEET, at).select(
         F.lit("ts_idx").alias("table_name"), F.lit(None).cast("long").alias("user_id"),
         F.lit(None).cast("string").alias("value"), "ts",
     )
     for name, value in values.items():
-        table = update.read_table(store, name, rows, EVENTS_FLEET)
+        table = update.read_table(store, name, rows, EVENTS_FLEET, at)
         out = out.unionByName(table.select(F.lit(name).alias("table_name"), "user_id", value.alias("value"), "ts"))
-    return out
+    nobody = F.lit(None).cast("long")
+    rejects = update.read_table(store, "rejects", rows, EVENTS_FLEET, at)
+    out = out.unionByName(rejects.select(
+        F.lit("rejects").alias("table_name"), nobody.alias("user_id"), F.concat_ws("|", "source", "reason").alias("value"), F.col("arrived").alias("ts")
+    ))
+    counts = update.read_table(store, "counts", rows, EVENTS_FLEET, at).groupBy("table_name").agg(F.sum("n_rows").alias("n"))
+    return out.unionByName(counts.select(
+        F.lit("counts").alias("table_name"), nobody.alias("user_id"), F.concat_ws("|", "table_name", "n").alias("value"), nobody.alias("ts")
+    ))
 
 
 @query("stream_period_avg_std", _period_sql(86_400, _avg_std_sql("cents"), "user_id"))

@@ -1,33 +1,24 @@
-"""Tables that move together, one commit per batch of polls.
-
-Every batch writes its rows of each table into ``open/<table>/batch=N`` and then one
-small commit row, last. Readers look at the newest commit and ignore folders beyond
-it, so a batch is visible in all tables or in none, and a replayed batch replaces its
-own folders. After a period has been rolled up, ``compact`` writes the batches since
-the previous time as few large files into ``closed/<table>/upto=N`` together with the
-state at N; later reads of the state start from there and not from the beginning.
+"""What a batch of polls adds to all tables, one write and one commit row per batch.
+
+The rows of all tables go to ``rows/batch=N`` together, divided by table, and a small
+commit row follows last. Readers look at the newest commit and ignore folders beyond it,
+so a batch is visible in all tables or in none; a replayed batch replaces its own folder.
+After a period has been rolled up its batches are merged into few files (``closed``) with
+the state at that time beside them, so later reads of the state start from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+TABLE = "_table"
 _COMMIT = "batch long, last_ts long, closed_upto long"
-# what a table consists of, and the folder number of each part
-_KINDS = {"open": "batch", "closed": "upto", "state": "upto"}
-
-
-def in_parallel(jobs: Sequence[Callable], at_once: int = 4) -> list:
-    """Run independent Spark jobs side by side; small ones leave most cores idle."""
-    with ThreadPoolExecutor(at_once) as pool:
-        return [f.result() for f in [pool.submit(job) for job in jobs]]
+# Commits that are looked at before all of them are.
+_RECENT = 64
 
 
 @dataclass(frozen=True)
@@ -42,83 +33,58 @@ class PollStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def create(self, schemas: dict[str, T.StructType]) -> "PollStore":
-        """Lay out empty tables; leaves those that exist alone."""
-
-        def lay_out(part: tuple[str, str]) -> None:
-            (table, kind), typed = part, schemas[part[0]]
-            empty = self.spark.range(0).select(
-                *[F.lit(None).cast(f.dataType).alias(f.name) for f in typed.fields]
-            )
-            empty.write.mode("ignore").parquet(f"{self.root}/{kind}/{table}/{_KINDS[kind]}=-1")
-
-        in_parallel([partial(lay_out, (table, kind)) for table in schemas for kind in _KINDS])
-        self._write_commit(Commit(), "ignore")
+    def create(self) -> "PollStore":
+        """Lay out empty folders; leaves those that exist alone."""
+        nothing = self.spark.range(0).select(F.lit("").alias(TABLE), F.lit(0).alias("x"))
+        for folder in ("rows/batch=-1", "closed/upto=-1", "state/upto=-1"):
+            nothing.write.mode("ignore").partitionBy(TABLE).parquet(f"{self.root}/{folder}")
+        self.commit(Commit(), "ignore")
         return self
 
     # -- commits
     def last_commit(self, before: int | None = None) -> Commit:
         """Newest commit, or the newest before a batch that is being replayed."""
-        commits = self.spark.read.schema(_COMMIT).parquet(f"{self.root}/commits")
-        if before is not None:
-            commits = commits.filter(F.col("batch") < before)
-        row = commits.agg(F.max_by(F.struct("*"), "batch").alias("c")).first()["c"]
+        folder = f"{self.root}/commits"
+        reader = self.spark.read.schema(_COMMIT).option("basePath", folder)
+        newest = F.max_by(F.struct("*"), "batch").alias("c")
+        row = None
+        if before is not None:  # a stream knows its number: its latest commits do, however many there are
+            recent = ",".join(map(str, [-1, *range(max(0, before - _RECENT), before)]))
+            row = reader.parquet(f"{folder}/batch={{{recent}}}").agg(newest).first()["c"]
+        if row is None or (before or 0) > _RECENT and row["batch"] < 0:
+            commits = reader.parquet(folder)
+            row = (commits if before is None else commits.filter(F.col("batch") < before)).agg(newest).first()["c"]
         return Commit(**row.asDict())
 
-    def _write_commit(self, entry: Commit, mode: str) -> None:
+    def commit(self, entry: Commit, mode: str = "overwrite") -> None:
         row = self.spark.range(1, numPartitions=1).select(
-            F.lit(entry.last_ts).cast("long").alias("last_ts"),
-            F.lit(entry.closed_upto).cast("long").alias("closed_upto"),
+            F.lit(entry.last_ts).cast("long").alias("last_ts"), F.lit(entry.closed_upto).cast("long").alias("closed_upto")
         )
         row.write.mode(mode).parquet(f"{self.root}/commits/batch={entry.batch}")
 
-    def commit(self, entry: Commit) -> None:
-        self._write_commit(entry, "overwrite")
-
-    # -- rows
-    def write(self, table: str, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/open/{table}/batch={batch}")
+    # -- rows; every frame has a column that names the table
+    def write(self, folder: str, rows: DataFrame) -> None:
+        # rebalance lets adaptive execution pick the number of files of a table from its size
+        rows.hint("rebalance", F.col(TABLE)).write.mode("overwrite").partitionBy(TABLE).parquet(f"{self.root}/{folder}")
 
-    def _part(self, kind: str, table: str, schema: T.StructType) -> DataFrame:
-        typed = T.StructType(schema.fields + [T.StructField(_KINDS[kind], T.LongType())])
-        return self.spark.read.schema(typed).parquet(f"{self.root}/{kind}/{table}")
+    def _part(self, kind: str, number: str, schema: T.StructType, paths: str) -> DataFrame:
+        typed = T.StructType([*schema.fields, T.StructField(number, T.LongType()), T.StructField(TABLE, T.StringType())])
+        folder = f"{self.root}/{kind}"
+        return self.spark.read.schema(typed).option("basePath", folder).parquet(f"{folder}/{paths}")
 
-    def open_rows(self, table: str, schema: T.StructType, at: Commit) -> DataFrame:
-        """Rows since the last compaction. Only the folders of those batches are looked at, however many there are."""
-        folder = f"{self.root}/open/{table}"
-        # the empty folder -1 is always there; a batch without rows for the table has none
+    def open_rows(self, schema: T.StructType, at: Commit) -> DataFrame:
+        """Rows of all tables since the last compaction. Only those batches are looked at, however many there are."""
+        # the empty folder -1 is always there; a batch without anything new has none
         batches = ",".join(map(str, [-1, *range(at.closed_upto + 1, at.batch + 1)]))
-        return (
-            self.spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch={{{batches}}}")
-            .select(*schema.names)
-        )
+        return self._part("rows", "batch", schema, f"batch={{{batches}}}").drop("batch")
 
     def read(self, table: str, schema: T.StructType, at: Commit | None = None) -> DataFrame:
         """All committed rows of a table."""
         at = at or self.last_commit()
-        closed = self._part("closed", table, schema)
-        return (
-            closed.filter(F.col("upto") <= at.closed_upto).drop("upto")
-            .unionByName(self.open_rows(table, schema, at))
-        )
+        closed = self._part("closed", "upto", schema, "").filter(F.col("upto") <= at.closed_upto).drop("upto")
+        return closed.unionByName(self.open_rows(schema, at)).filter(F.col(TABLE) == table).drop(TABLE)
 
     def state(self, table: str, schema: T.StructType, at: Commit) -> DataFrame:
-        """State written by the last compaction."""
-        part = self._part("state", table, schema)
-        return part.filter(F.col("upto") == at.closed_upto).drop("upto")
-
-    def save_state(self, table: str, at: Commit, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/state/{table}/upto={at.batch}")
-
-    def compact(
-        self, table: str, schema: T.StructType, at: Commit, state: DataFrame | None = None
-    ) -> None:
-        """Merge the open rows up to a commit into few files; keep the state beside them.
-
-        Becomes visible with the next commit whose closed_upto is at.batch.
-        """
-        rows = self.open_rows(table, schema, at)
-        # rebalance lets adaptive execution pick the number of files from the size
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/closed/{table}/upto={at.batch}")
-        if state is not None:
-            self.save_state(table, at, state)
+        """Rows of a state table: as the last compaction left it and what came since."""
+        kept = self._part("state", "upto", schema, f"upto={at.closed_upto}").drop("upto")
+        return kept.unionByName(self.open_rows(schema, at)).filter(F.col(TABLE) == table).drop(TABLE)

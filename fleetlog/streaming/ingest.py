@@ -18,10 +18,9 @@ def ingest_batch(store: PollStore, payloads: DataFrame, batch: int, spec: FleetT
     """Check, admit and clean a batch of payloads, then update all tables."""
     payloads = payloads.persist()
     try:
-        store.write("rejects", batch, payload.rejected(payloads))
         offers = payload.explode_offers(payloads)
         fresh = payload.admit(offers, last_ts=store.last_commit(before=batch).last_ts)
-        return update_all(store, normalize(fresh), batch, spec)
+        return update_all(store, normalize(fresh), batch, spec, payload.rejected(payloads))
     finally:
         payloads.unpersist()
 

@@ -24,7 +24,7 @@ OFFER = T.StructType(
     ]
 )
 SPEC = update.FleetTables(
-    logs={"cost": ["dph_base"], "hardware": ["gpu_name", "verification"]}, averages=("dlperf",), period=3600
+    logs={"cost": ["dph_base"], "hardware": ["gpu_name", "verification"]}, averages=("dlperf",), period=3600, compact_batches=1
 )
 START = 1_704_067_200
 
@@ -113,7 +113,7 @@ def test_counts(streamed):
 
 def test_rejects(spark, streamed):
     _, _, store = streamed
-    assert rows(store.read("rejects", update.REJECTS), "reason") == [("not json",)]
+    assert rows(store.read("rejects", update.REJECTS, store.last_commit()), "reason") == [("not json",)]
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
@@ -165,3 +165,38 @@ def test_several_rows_of_a_key_in_a_poll(spark, tmp_path):
     assert read("cost") == rows(changes.change_log(want, ["machine_id"], ["gpu"], ["timestamp"]))
     assert read("avg") == rows(rollup.period_avg_std(want, "machine_id", ["dlperf"], period=1800))
     assert read("online") == rows(presence.presence_log(want, "machine_id"))
+
+
+def test_one_pass_and_sums_for_the_buffer(spark, tmp_path):
+    """The batch is ordered by key once for all logs; the open period has one row per key and batch."""
+    df = flat(spark, polls(8, 8))
+    spec = update.FleetTables(logs=SPEC.logs, averages=("dlperf",), period=10**6)
+    state = df.limit(0)
+    parts, held = update.additions(df, state, 0, spec)
+    plan = held[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" +-:").startswith("Window") for line in held[0]._jdf.queryExecution().analyzed().toString().splitlines()) == 1, plan
+    for name in spec.logs:
+        text = parts[name]._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in text and "Exchange" not in text.split("InMemoryRelation")[0]
+    store = PollStore(spark, str(tmp_path / "s"))
+    update.create_tables(store, df.schema, spec)
+    times = sorted(r[0] for r in df.select("timestamp").distinct().collect())
+    for batch, cut in enumerate((times[:4], times[4:])):
+        update.update_all(store, df.filter(F.col("timestamp").isin(cut)), batch, spec)
+    kept = store.state(update.MOMENTS, spec.schemas(df.schema)[update.MOMENTS], store.last_commit())
+    assert kept.groupBy("machine_id", "timestamp").count().agg(F.max("count")).first()[0] <= 2
+    merged = rollup.merge_moments(kept, "machine_id", ["dlperf"])
+    want = rollup.period_avg_std(df, "machine_id", ["dlperf"], period=10**6, include_open=True)
+    assert rows(rollup.moments_avg_std(merged, "machine_id", ["dlperf"])) == rows(want)
+
+
+def test_rejects_alone_are_kept(spark, tmp_path):
+    df = flat(spark, polls(2, 3))
+    store = PollStore(spark, str(tmp_path / "s"))
+    update.create_tables(store, df.schema, SPEC)
+    bad = spark.createDataFrame([(5, "f", "not json")], update.REJECTS)
+    assert update.update_all(store, df.limit(0), 0, SPEC, bad) == {}
+    update.update_all(store, df, 1, SPEC, bad)
+    assert update.read_table(store, "rejects", df.schema, SPEC).count() == 2
+    assert store.last_commit(before=200).batch == 1  # beyond the commits that are looked at first
+    assert rows(update.read_table(store, "cost", df.schema, SPEC)) == rows(changes.change_log(df, ["machine_id"], ["dph_base"], ["timestamp"]))
