@@ -1,28 +1,31 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts (language, bucket) pairs over all labelled rows: each task adds up its
-rows in a matrix, Spark sums the matrices' cells. The log-probability matrix has
-`MAX_LANGUAGES` x `BUCKETS` cells at most (32 MB), so it may travel with the tasks. Scoring
-gathers the columns of a batch's n-grams and sums them between the texts' ends.
+rows in a matrix, Spark sums the matrices' cells. The log-probability matrix is cut into
+blocks of `BLOCK_LANGUAGES` x `BUCKETS` cells at most (32 MB), each of which may travel with
+the tasks. Scoring gathers the columns of a batch's n-grams and sums them between the
+texts' ends; with several blocks the rows pass from one to the next with their best so far.
 
 Letters are lower-cased; everything else counts as a gap between words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.llm.frames import steps
+from fleetlog.llm.frames import steps, written
 
 BUCKETS = 1 << 15
-# Languages that are learned: those with the most labelled rows.
-MAX_LANGUAGES = 256
+# Languages of a block; all labelled languages are learned.
+BLOCK_LANGUAGES = 256
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -82,52 +85,93 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-class NaiveBayes:
-    """Languages, their log priors, and log probabilities by bucket."""
+class Block:
+    """Some languages in order of their names, their log priors, and log probabilities by bucket."""
 
     def __init__(self, langs: list[str], priors: np.ndarray, matrix: np.ndarray):
         self.langs, self.priors, self.matrix = langs, priors, matrix
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Most probable language of each text and its posterior probability; ties go to the first name."""
-        if not self.langs or not texts:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        buckets, starts, letters = ngrams([t or "" for t in texts])
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best language of each text, its score, the sum of all shares against it, and the number of letters."""
+        buckets, starts, letters = ngrams(texts)
         scores = np.stack([np.add.reduceat(row[buckets], starts, dtype=np.float64) for row in self.matrix])
         scores += self.priors[:, None]
         best = scores.argmax(axis=0)
-        share = 1.0 / np.exp(scores - scores.max(axis=0)).sum(axis=0)
-        known = letters > 0
-        return [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, share, 0.0)
+        top = scores.max(axis=0)
+        return np.array(self.langs, object)[best], top, np.exp(scores - top).sum(axis=0), letters
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> NaiveBayes:
+@dataclass
+class Model:
+    """All learned languages, in blocks that follow each other by name."""
+
+    langs: list[str]
+    blocks: list[Block]
+
+
+def train(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, block_languages: int = BLOCK_LANGUAGES
+) -> Model:
     """Fit on every row that has a text and a language."""
     docs = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).dropna()
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    sizes = sorted((r["lang"], r["count"]) for r in sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in docs.groupBy("lang").count().collect())
     langs = [lang for lang, _ in sizes]
-    # at most MAX_LANGUAGES x BUCKETS cells
-    cells = count_ngrams(docs.filter(F.col("lang").isin(langs)) if len(langs) == MAX_LANGUAGES else docs).toArrow()
-    counts = np.zeros((len(langs), BUCKETS))
-    rows = np.searchsorted(np.array(langs, object), np.array(cells.column("lang").to_pylist(), object)) if langs else []
-    counts[rows, cells.column("bucket").to_numpy()] = cells.column("n").to_numpy()
-    matrix = np.log(counts + smoothing) - np.log(counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS)
-    docs_of = np.array([n for _, n in sizes], float)
-    return NaiveBayes(langs, np.log(docs_of / docs_of.sum()) if len(docs_of) else docs_of, matrix.astype(np.float32))
-
-
-def identify(df: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row; `und` and 0 if the text is null or has no letter."""
+    total = sum(n for _, n in sizes)
+    parts = [sizes[at : at + block_languages] for at in range(0, len(sizes), block_languages)]
+    cells = count_ngrams(docs)
+    if len(parts) > 1:
+        cells = written(cells, "language-cells")
+    blocks = []
+    for part in parts:
+        own = [lang for lang, _ in part]
+        # at most BLOCK_LANGUAGES x BUCKETS cells
+        found = (cells.filter(F.col("lang").between(own[0], own[-1])) if len(parts) > 1 else cells).toArrow()
+        counts = np.zeros((len(own), BUCKETS))
+        rows = np.searchsorted(np.array(own, object), np.array(found.column("lang").to_pylist(), object))
+        counts[rows, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+        matrix = np.log(counts + smoothing) - np.log(counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS)
+        blocks.append(Block(own, np.log(np.array([n for _, n in part], float) / total), matrix.astype(np.float32)))
+    return Model(langs, blocks)
+
+
+_SCORED = "doc_id long, text string, lang_pred string, best double, shares double, letters long"
+
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score of every row; `und` and 0 if the text is null or has no letter.
+
+    The score is the posterior probability; ties go to the first name. Repeated rows give
+    a row each, an empty table none, and without learned languages all are `und`. Other
+    columns, whatever their names, are not looked at. Texts of any length are scored whole.
+    """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast((model.langs, model.priors, model.matrix))
+    lowest = F.lit(float("-inf"))
+    found = docs.select("doc_id", "text", F.lit(UNDETERMINED).alias("lang_pred"), lowest.alias("best"), F.lit(0.0).alias("shares"), F.lit(0).cast("long").alias("letters"))
+    for no, block in enumerate(model.blocks):
+        found = found.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(block), no == len(model.blocks) - 1), _SCORED)
+    known = F.col("letters") > 0
+    return found.select(
+        "doc_id", F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, 1.0 / F.col("shares")).otherwise(0.0).alias("score"),
+    )
+
+
+def _scorer(shared: Broadcast, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Brings rows with their best language so far past one more block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = NaiveBayes(*shared.value)
         for batch in steps(batches):
-            langs, score = own.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"]
-            )
-
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+            langs, top, shares, letters = shared.value.score([t or "" for t in batch.column("text").to_pylist()])
+            before, best_before = np.array(batch.column("lang_pred").to_pylist(), object), batch.column("best").to_numpy()
+            better = top > best_before
+            best = np.where(better, top, best_before)
+            with np.errstate(under="ignore"):
+                all_shares = batch.column("shares").to_numpy() * np.exp(best_before - best) + shares * np.exp(top - best)
+            text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
+            columns = [
+                batch.column("doc_id"), text, pa.array(np.where(better, langs, before).tolist(), pa.string()), pa.array(best),
+                pa.array(all_shares), pa.array(letters.astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
+
+    return run

@@ -37,21 +37,20 @@ PAGE_ROWS = 256
 BRANCH_PAGES = 32
 # Queries searched together.
 BLOCK_QUERIES = 4096
-# Largest absolute component that takes part (after scaling); keeps scores within 64 bits.
-MAX_COMPONENT = 1 << 28
-# Slack of distance bounds, relative; rounding errors are far smaller.
+# Scaled components from here on cannot be long integers with room to add them; they are an error.
+COMPONENT_LIMIT = 1 << 62
+# Slack of distance bounds, relative to the longest vector; rounding errors are smaller.
 SLACK = 1e-7
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """vec_id, vec (little-endian 64-bit integers), norm2; rows without a usable id or vector are left out."""
-    parts = F.transform(df[vector_col], lambda x: F.floor(x.cast("double") * scale))
-    usable = F.col("parts").isNotNull() & ~F.exists(
-        "raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (F.abs(x) * scale >= MAX_COMPONENT)
-    )
-    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("raw"), parts.alias("parts"))
-    rows = rows.filter("vec_id IS NOT NULL").filter(usable).select("vec_id", "parts")
-    return rows.withColumn("norm2", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    too_large = F.raise_error(F.lit(f"a component times {scale} is beyond a long integer"))
+    whole = lambda x: F.when(F.abs(x * scale) >= float(COMPONENT_LIMIT), too_large).otherwise(F.floor(x * scale))
+    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("raw"))
+    finite = ~F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.filter("vec_id IS NOT NULL AND raw IS NOT NULL").filter(finite).select("vec_id", F.transform("raw", whole).alias("parts"))
+    return rows.withColumn("norm2", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def _matrix(vectors: list[bytes]) -> np.ndarray:
@@ -61,28 +60,45 @@ def _matrix(vectors: list[bytes]) -> np.ndarray:
 class Space:
     """Distances of vectors that have been given the same length."""
 
-    def __init__(self, longest2: int):
-        self.longest2 = longest2
-        self.exact = longest2 < 1 << 52
+    def __init__(self, longest2: float):
+        self.longest2 = float(longest2)
+        self.exact = self.longest2 < 1 << 52
+        self.slack = SLACK * (np.sqrt(self.longest2) + 1)
+
+    def rough(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Inner products in floating point, for distances."""
+        return a.astype(float) @ b.astype(float).T
 
-    def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Integer inner products; in floating point where that is exact."""
+    def products(self, a: np.ndarray, b: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """Integer inner products but for those that are not used; in floating point where that is exact.
+
+        Otherwise sums wrap around, which leaves every product right that is a long. One
+        that is too low for a long counts as the lowest, one that is too high is an error.
+        """
+        rough = self.rough(a, b)
         if self.exact:
-            return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
-        return a @ b.T
+            return np.rint(rough).astype(np.int64)
+        whole = a @ b.T
+        beyond = np.abs(rough - whole.astype(float)) > 2.0**62  # wrapped: off by a multiple of 2^64
+        if (beyond & (rough > 0) & ~unused).any():
+            raise OverflowError("a score is beyond a long integer")
+        return np.where(beyond, np.iinfo(np.int64).min + 1, whole)
+
+    def norm2(self, x: np.ndarray) -> np.ndarray:
+        return (x.astype(float) ** 2).sum(axis=1)
 
     def extra(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.longest2 - (x * x).sum(axis=1), 0).astype(float))
+        return np.sqrt(np.maximum(self.longest2 - self.norm2(x), 0))
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances between rows of the index."""
         gap = (self.extra(a)[:, None] - self.extra(b)[None, :]) ** 2
-        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * self.products(a, b)
+        squares = self.norm2(a)[:, None] + self.norm2(b)[None, :] - 2 * self.rough(a, b)
         return np.sqrt(np.maximum(squares + gap, 0))
 
     def from_scores(self, norm2: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Distance of a query to a row with this score."""
-        return np.sqrt(np.maximum((norm2 + self.longest2).astype(float) - 2.0 * score, 0))
+        return np.sqrt(np.maximum(norm2 + self.longest2 - 2.0 * score, 0))
 
 
 _PAGE = "branch string, page long, routing binary, radius double, parent double, low double, high double, rows int, ids binary, vecs binary, dists binary"
@@ -107,7 +123,7 @@ def build(rows: DataFrame, pivots: np.ndarray, space: Space) -> DataFrame:
         def page(rows: list[dict]) -> dict:
             nonlocal number
             vecs = _matrix([r["vec"] for r in rows])
-            to_center = ((vecs - vecs.mean(axis=0)) ** 2).sum(axis=1)
+            to_center = ((vecs - vecs.astype(float).mean(axis=0)) ** 2).sum(axis=1)
             center = vecs[[int(to_center.argmin())]]
             dists = space.between(vecs, center)[:, 0]
             order = np.argsort(dists, kind="stable")
@@ -149,14 +165,14 @@ class Search:
 
     def __init__(self, space: Space, ids: np.ndarray, vecs: np.ndarray, bound: np.ndarray, k: int):
         self.space, self.ids, self.vecs, self.k = space, ids, vecs, k
-        self.norm2 = (vecs * vecs).sum(axis=1)
+        self.norm2 = space.norm2(vecs)
         self.worst = bound.copy()  # score that a candidate must reach
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
 
     def reach(self, q: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Distance that a candidate may have at most."""
         d = self.space.from_scores(self.norm2[q], self.worst[q])
-        return np.where(self.worst[q] == np.iinfo(np.int64).min, np.inf, d * (1 + SLACK) + SLACK)
+        return np.where(self.worst[q] == np.iinfo(np.int64).min, np.inf, d + self.space.slack)
 
     def _visit(self, page: dict, q: np.ndarray, to_routing: np.ndarray) -> None:
         """Score the entries of a page that the triangle inequality does not exclude."""
@@ -165,8 +181,9 @@ class Search:
         if not len(wanted):
             return
         ids = page["ids"][wanted]
-        scores = self.space.products(self.vecs[q], page["vecs"][wanted])
-        good = (scores >= self.worst[q][:, None]) & (ids[None, :] != self.ids[q][:, None])
+        own = ids[None, :] == self.ids[q][:, None]
+        scores = self.space.products(self.vecs[q], page["vecs"][wanted], own)
+        good = (scores >= self.worst[q][:, None]) & ~own
         for row in np.flatnonzero(good.any(axis=1)):
             i, at = int(q[row]), good[row]
             both = sorted([*self.found[i], *zip((-scores[row, at]).tolist(), ids[at].tolist())])[: self.k]
@@ -185,7 +202,7 @@ class Search:
         for j, page in enumerate(pages):
             q = np.flatnonzero(bound[:, j] <= near[:, 0])
             if len(q):
-                scores = self.space.products(self.vecs[q], page["routing"])[:, 0]
+                scores = self.space.rough(self.vecs[q], page["routing"])[:, 0]
                 distance[q, j] = self.space.from_scores(self.norm2[q], scores)
         bound = np.maximum(bound, distance - stored[1])
         bound[np.isinf(distance)] = np.inf
@@ -238,8 +255,8 @@ def top_k(
 
     Both frames have the id and the vector; components are floor(scale * x). A row with
     the query's own id is no candidate; ties go to the smaller id. Rows with a null
-    id, a null vector, or a component that is null, not finite or beyond MAX_COMPONENT
-    take no part. Vectors of unequal lengths are filled up with zeros; empty ones score 0.
+    id, a null vector, or a component that is null or not finite take no part. A scaled
+    component of 2^62 or more, and a score that no long integer holds, is an error. Vectors of unequal lengths are filled up with zeros; empty ones score 0.
     Repeated rows are candidates each, and one query.
     """
     spark = df.sparkSession
@@ -270,12 +287,12 @@ def top_k(
         for batch in batches:
             if batch.num_rows:
                 vecs = _matrix(batch.column("vec").to_pylist())
-                norm2 = (vecs * vecs).sum(axis=1)
-                d = space.from_scores(norm2[:, None], space.products(vecs, pivots))
+                norm2 = space.norm2(vecs)
+                d = space.from_scores(norm2[:, None], space.rough(vecs, pivots))
                 columns = [batch.column("vec_id"), batch.column("vec"), pa.array(norm2), pa.array(d.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec", "norm2", "parents"])
 
-    placed = packed(asked).mapInArrow(to_root, "query_id long, vec binary, norm2 long, parents array<double>")
+    placed = packed(asked).mapInArrow(to_root, "query_id long, vec binary, norm2 double, parents array<double>")
     # a query and a branch: at most ROOT_ENTRIES cells for each query, joined to the cells' branches
     cells = placed.select("query_id", "vec", "norm2", F.posexplode("parents").alias("cell", "parent"))
     pairs = cells.join(branches, "cell").withColumn("gap", F.greatest(F.col("low") - F.col("parent"), F.col("parent") - F.col("high"), F.lit(0.0)))
@@ -287,7 +304,7 @@ def top_k(
     bound = home.select("query_id", F.col("branch").alias("home")).join(worst, "query_id", "left").select(
         "query_id", "home", F.when(F.col("n") >= k, F.col("score")).otherwise(low).alias("worst")
     )
-    reach = F.sqrt(F.greatest(F.col("norm2") + space.longest2 - 2.0 * F.col("worst"), F.lit(0.0))) * (1 + SLACK) + SLACK
+    reach = F.sqrt(F.greatest(F.col("norm2") + space.longest2 - 2.0 * F.col("worst"), F.lit(0.0))) + float(space.slack)
     rest = (
         pairs.join(bound, "query_id").filter("branch != home")
         .filter((F.col("worst") == low) | (F.col("gap") <= reach)).select("branch", "query_id", "vec", "parent", "worst")

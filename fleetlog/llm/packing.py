@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from fleetlog.llm.frames import steps, texts_of
 from fleetlog.llm.word_ids import encoder
 
-# Open windows of a task beyond which they are emptied into full ones.
+# Open windows of a task beyond which they are emptied into full ones: their ids are then
+# cut end to end, so documents are cut more often and nothing else changes. It bounds a
+# task's memory to 32 MB of ids; with the documents of the test tables a task has some 130.
 OPEN_WINDOWS = 2048
 # Sequences are numbered within a task, below this many.
 TASK_SEQUENCES = 1 << 36

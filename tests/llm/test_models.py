@@ -21,7 +21,7 @@ def brute(rows, queries, k, scale=64):
 
 
 def usable(v):
-    return v is not None and all(x is not None and math.isfinite(x) and abs(x) * 64 < mtree.MAX_COMPONENT for x in v)
+    return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
 
 def vectors(n, dim, seed):
@@ -35,7 +35,7 @@ def test_top_k(spark, k):
     rows = vectors(700, 8, 1)
     rows += [(1000 + i, rows[3][1]) for i in range(300)]  # one vector many times: ties
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8)]
-    rows += [(2004, [1e30] * 8), (2005, []), (2006, [5.0, 5.0]), (None, rows[0][1]), rows[20], rows[20], (2020, [0.0] * 8)]
+    rows += [(2004, [1e7] * 8), (2040, [-2e7] * 8), (2005, []), (2006, [5.0, 5.0]), (None, rows[0][1]), rows[20], rows[20], (2020, [0.0] * 8)]
     schema = "vec_id long, embedding array<double>"
     df = prepare(spark).createDataFrame(rows, schema).withColumn("rank", F.lit("x")).repartition(3)
     asked = [r for r in rows if r[0] is not None and r[0] % 20 == 0]
@@ -55,6 +55,28 @@ def test_top_k_of_few_rows(spark):
     assert mtree.top_k(none, df).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """No finite component is left out; products beyond 53 bits stay exact."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(2**24), 2**24, 4)]) for i in range(60)]
+    rows += [(100, [5e6, 0.0, 0.0, 0.0]), (101, [1.0, 2.0, 0.0, 0.0]), (120, [1.0, 1.0, 0.0, 0.0]), (140, [2.0**24, 1.0, 0.5, 0.0])]
+    df = prepare(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [r for r in rows if r[0] >= 100]
+    wide = [r for r in brute(rows, asked, 5)]
+    found = mtree.top_k(df, df.filter("vec_id >= 100"), 5)
+    assert sorted(map(tuple, found.collect())) == wide
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    df = prepare(spark).createDataFrame([(0, [1e10, 1.0]), (1, [1e10, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        mtree.top_k(df, df, 2).collect()
+    low = df.selectExpr("vec_id", "IF(vec_id = 0, transform(embedding, x -> -x), embedding) AS embedding")
+    assert [r.vec_id for r in mtree.top_k(low, low.filter("vec_id = 1"), 1).collect()] == [2]
+    with pytest.raises(Exception, match="beyond a long"):
+        mtree.top_k(df.selectExpr("vec_id", "array(1e30D) AS embedding"), df, 2).collect()
+
+
 def test_search_leaves_computations_out():
     """Far pages are never scored."""
     rng = np.random.default_rng(0)
@@ -73,7 +95,7 @@ def test_search_leaves_computations_out():
     search = mtree.Search(space, np.array([-1]), np.array([[1000, 0]]), np.array([np.iinfo(np.int64).min]), 5)
     visit = search._visit
     search._visit = lambda page, *rest: (visited.append(page["ids"][0]), visit(page, *rest))
-    search.run(pages, space.from_scores(np.array([1000**2]), space.products(np.array([[1000, 0]]), vecs[0][:1])[:, 0]))
+    search.run(pages, space.from_scores(np.array([1000**2]), space.rough(np.array([[1000, 0]]), vecs[0][:1])[:, 0]))
     assert visited == [0]
     assert len(search.found[0]) == 5
 
@@ -160,6 +182,53 @@ def test_language_id(spark):
     assert lang_id.identify(df, model).count() == len(rows)
 
 
+def plain_bayes(rows, texts, smoothing=0.5):
+    """Multinomial naive Bayes, one text and one n-gram at a time."""
+    counts, docs = {}, {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            own = counts.setdefault(lang, {})
+            docs[lang] = docs.get(lang, 0) + 1
+            for b in lang_id.ngrams([text])[0].tolist():
+                own[b] = own.get(b, 0) + 1
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        score = {}
+        for lang, own in counts.items():
+            whole = sum(own.values()) + smoothing * lang_id.BUCKETS
+            score[lang] = math.log(docs[lang] / sum(docs.values()))
+            score[lang] += sum(math.log((own.get(b, 0) + smoothing) / whole) for b in lang_id.ngrams([text])[0].tolist())
+        best = min(score, key=lambda x: (-score[x], x))
+        out.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 2, 1])
+def test_language_id_is_plain_naive_bayes(spark, block):
+    rows = [(i, f"{LANGS[x]} {'xyz'[i % 3] * (i % 5)}", x) for i, x in enumerate(list(LANGS) * 5)]
+    texts = ["alpha zwei due", "zzz", "gamma", "123", "", None, "fünf uno beta delta", "alpha zwei due", "q " * 300_000]
+    prepare(spark)
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), block_languages=block)
+    assert len(model.blocks) == -(-3 // block)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(asked, model).collect()}
+    for i, (lang, score) in enumerate(plain_bayes([r[1:] for r in rows], texts)):
+        assert found[i][0] == lang and abs(found[i][1] - score) < 1e-4, i
+
+
+def test_all_languages_are_learned(spark):
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 17)) + chr(97 + i // 26) for i in range(300)]
+    rows = [(i, f"{w} {w}", f"l{i:03d}") for i, w in enumerate(words)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+    assert len(model.langs) == 300 and len(model.blocks) == 2
+    found = {r.doc_id: r.lang_pred for r in lang_id.identify(df, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) > 290
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in lang_id.identify(df, lang_id.train(df)).collect()] == [(1, "und", 0.0)]
