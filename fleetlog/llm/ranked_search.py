@@ -44,7 +44,7 @@ SEED_PAGES = 4
 # Terms whose document counts a task holds before it hands them on.
 HELD_TERMS = 1 << 17
 # Pages, or documents that become pages, in a batch: a few MB.
-BATCH_PAGES = 32
+BATCH_PAGES = 4
 # Fixed values of the score.
 BASE, SPREAD, SHARE, TF_FACTOR, M_FACTOR, WEIGHT = 50, 50, 1_000_000_000, 1000, 20, 1000
 
