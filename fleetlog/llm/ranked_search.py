@@ -57,16 +57,26 @@ _NAMES = [x.split()[0] for x in _PAGE.split(", ")]
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 9]
 
 
+# Workers give memory back once a page is done, in place of keeping it for the next.
+_LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072"}
+
+
 @contextmanager
 def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of `BATCH_PAGES` rows: a page is much larger than a text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+    """Arrow batches of `BATCH_PAGES` rows, as a page is much larger than a text, in workers that keep little."""
+    name, environment = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.environment
+    before, own = spark.conf.get(name), {k: environment.get(k) for k in _LEAN}
     spark.conf.set(name, str(BATCH_PAGES))
+    environment.update(_LEAN)
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        for k, value in own.items():
+            if value is None:
+                environment.pop(k, None)
+            else:
+                environment[k] = value
 
 
 def count_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
