@@ -65,27 +65,30 @@ def test_storage_report(spark, sf_dir):
 
 def test_store_shows_only_committed_batches(spark, tmp_path):
     typed = T.StructType([T.StructField("k", T.LongType())])
-    store = PollStore(spark, str(tmp_path / "s")).create({"t": typed})
-    make = lambda *ks: spark.createDataFrame([(k,) for k in ks], typed)
+    store = PollStore(spark, str(tmp_path / "s")).create()
+    make = lambda *ks, table="t": spark.createDataFrame([(k, table) for k in ks], "k long, _table string")
     assert store.last_commit() == Commit() and store.read("t", typed).count() == 0
-    store.write("t", 0, make(1))
+    store.write("rows/batch=0", make(1).union(make(9, table="other")))
     assert store.read("t", typed).count() == 0  # not committed yet
     store.commit(Commit(0, 10))
-    store.write("t", 1, make(2, 3))  # cut off here ...
-    assert rows(store.read("t", typed)) == [(1,)]
-    store.write("t", 1, make(2))  # ... and run again
+    store.write("rows/batch=1", make(2, 3))  # cut off here ...
+    assert rows(store.read("t", typed)) == [(1,)] and rows(store.read("other", typed)) == [(9,)]
+    store.write("rows/batch=1", make(2))  # ... and run again
     store.commit(Commit(1, 20))
     assert rows(store.read("t", typed)) == [(1,), (2,)]
     assert store.last_commit(before=1) == Commit(0, 10)
-    store.compact("t", typed, store.last_commit(), state=make(2))
+    at = store.last_commit()
+    store.write("closed/upto=1", store.open_rows(typed, at))
+    store.write("state/upto=1", make(2))
     assert rows(store.read("t", typed)) == [(1,), (2,)]  # compaction is not visible before its commit
-    store.write("t", 2, make(4))
+    store.write("rows/batch=2", make(4))
     store.commit(Commit(2, 30, 1))
+    at = store.last_commit()
     assert rows(store.read("t", typed)) == [(1,), (2,), (4,)]
-    assert rows(store.open_rows("t", typed, store.last_commit())) == [(4,)]
-    assert rows(store.state("t", typed, store.last_commit())) == [(2,)]
+    assert rows(store.open_rows(typed, at), "k") == [(4,)]
+    assert rows(store.state("t", typed, at)) == [(2,), (4,)]  # as it was kept, and what came since
     # a second create leaves everything in place
-    assert PollStore(spark, str(tmp_path / "s")).create({"t": typed}).read("t", typed).count() == 3
+    assert PollStore(spark, str(tmp_path / "s")).create().read("t", typed).count() == 3
 
 
 def test_mistyped_fields_spoil_nothing_else(spark, tmp_path):
