@@ -62,16 +62,14 @@ _LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC
 
 
 @contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of `BATCH_PAGES` rows, as a page is much larger than a text, in workers that keep little."""
-    name, environment = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.environment
-    before, own = spark.conf.get(name), {k: environment.get(k) for k in _LEAN}
-    spark.conf.set(name, str(BATCH_PAGES))
+def lean_workers(spark: SparkSession) -> Iterator[None]:
+    """One kind of workers for all steps, with little kept; each kind of environment has workers of its own."""
+    environment = spark.sparkContext.environment
+    own = {k: environment.get(k) for k in _LEAN}
     environment.update(_LEAN)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
         for k, value in own.items():
             if value is None:
                 environment.pop(k, None)
@@ -79,6 +77,18 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
                 environment[k] = value
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of `BATCH_PAGES` rows: a page is much larger than a text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_PAGES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def count_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document with terms: a number of its own, id, length, terms and their counts."""
 
@@ -191,6 +201,12 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_
     if not 0 < page_docs < 1 << 16:
         raise ValueError("page_docs must be between 1 and 65535")
     spark = docs.sparkSession
+    with lean_workers(spark):
+        return _build(docs, id_col, text_col, page_docs, page_postings)
+
+
+def _build(docs: DataFrame, id_col: str, text_col: str, page_docs: int, page_postings: int) -> Index:
+    spark = docs.sparkSession
     counted = written(count_terms(docs, id_col, text_col), "search-documents")
     documents, length = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     whole = "decimal(38,0)"
@@ -380,6 +396,11 @@ def search(index: Index, queries: DataFrame, k: int = 50, id_col: str = "item_id
     are not looked at.
     """
     spark = queries.sparkSession
+    with lean_workers(spark):
+        return _search(spark, index, queries, k, id_col, text_col, block_terms)
+
+
+def _search(spark: SparkSession, index: Index, queries: DataFrame, k: int, id_col: str, text_col: str, block_terms: int) -> DataFrame:
     asked = query_terms(queries, id_col, text_col).join(index.counts, "term")
     weight = F.floor(WEIGHT * F.log(F.lit(2.0 * index.documents + 2) / (2 * F.col("df") + 1))).cast("long")
     asked = written(asked.select("item", "term", weight.alias("weight")), "search-queries")
