@@ -1,12 +1,13 @@
 import math
 import random
+import struct
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from fleetlog.functions import special
-from fleetlog.operators import derive, normalize, profile, stats
+from fleetlog.operators import derive, normalize, profile, quantiles, stats
 from fleetlog.operators.quantiles import exact_quantiles
 
 
@@ -58,26 +59,58 @@ def test_correlation(spark):
     assert r[0].p_value == pytest.approx(1 - 1 / math.sqrt(2))
 
 
-@pytest.mark.parametrize("n,accuracy", [(1, 50), (2, 50), (37, 50), (3000, 50), (3000, 20_000)])
-def test_exact_quantiles(spark, n, accuracy):
+@pytest.mark.parametrize("n,bits", [(1, 16), (2, 16), (37, 16), (3000, 13), (3000, 16)])
+def test_exact_quantiles(spark, n, bits):
     rnd = random.Random(n)
     xs = [rnd.choice([rnd.gauss(0, 1), 0.5, 0.5]) for _ in range(n)]
     ys = [rnd.random() for _ in range(n)]
     probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
     df = spark.createDataFrame([("x", v) for v in xs] + [(None, v) for v in ys] + [("x", None)], "g string, v double")
-    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], accuracy).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], bits).collect()}
     for g, vs in (("x", xs), (None, ys)):
         for i, q in enumerate(probs):
             assert got[g][f"q{i}"] == pytest.approx(linear_quantile(vs, q), abs=1e-12)
-    whole = exact_quantiles(df, "v", [0.5], accuracy=accuracy).first()
+    whole = exact_quantiles(df, "v", [0.5], bits=bits).first()
     assert whole.q0 == pytest.approx(linear_quantile(xs + ys, 0.5), abs=1e-12)
 
 
-def test_quantile_window_is_small(spark):
-    """With many rows only the bracket's values reach the ordering step."""
-    df = spark.range(100_000).select(F.rand(3).alias("v"))
-    got = exact_quantiles(df, "v", [0.5], accuracy=1000).first().q0
+def test_quantile_counters_are_bounded(spark):
+    """Of a million different values, each round orders at most 65,536 counters per group and rank."""
+    df = spark.range(1_000_000).select((F.col("id") * 1e-3 - 300).alias("v"))
+    got = exact_quantiles(df, "v", [0.5]).first().q0
     assert got == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0], abs=1e-12)
+    rows_ = quantiles.with_key(df.select(F.col("v").alias("_v")), "_v")
+    chosen, seen = None, 0
+    for width in quantiles.bit_widths(16):
+        cells = quantiles.count_cells(rows_, chosen, [], seen, width).cache()
+        assert cells.groupBy("_cell").count().agg(F.max("count")).first()[0] <= 65_536
+        assert chosen is None or cells.agg(F.sum("_c")).first()[0] < 1_000_000
+        chosen = quantiles.pick_cells(cells, [], width, [0.5] if chosen is None else None).cache()
+        assert chosen.count() <= 2
+        seen += width
+
+
+def test_ordered_keys(spark):
+    """Keys are the bits of the doubles, mirrored below zero."""
+    rnd = random.Random(4)
+    xs = [0.0, -0.0, 5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0), 1.7976931348623157e308, math.inf, 1.0]
+    xs += [f(2.0**e) for e in range(-1073, 1023, 7) for f in (float, lambda y: math.nextafter(y, 0), lambda y: math.nextafter(y, math.inf))]
+    xs += [struct.unpack("<d", struct.pack("<q", rnd.randrange(2047 << 52)))[0] for _ in range(2000)]
+    xs += [-x for x in xs]
+    df = quantiles.with_key(spark.createDataFrame([(x,) for x in xs], "x double"), "x", "key")
+    for r in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.x)))[0]
+        assert r.key == (-bits if r.x < 0 else bits)
+    assert df.filter("x = 0 AND key = 0").count() == 4
+    top = df.agg(F.max("key")).first()[0]
+    assert quantiles.with_key(spark.sql("SELECT double('NaN') AS x"), "x").first()[1] > top
+
+
+def test_quantiles_of_odd_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in (-math.inf, -1.0, 0.0, math.inf, math.inf)], "v double")
+    got = exact_quantiles(df, "v", [0.0, 0.25, 0.375, 0.9, 1.0]).first()
+    assert list(got) == [-math.inf, -1.0, -0.5, math.inf, math.inf]
+    assert math.isnan(exact_quantiles(df.union(spark.sql("SELECT double('NaN')")), "v", [1.0]).first().q0)
 
 
 def test_box_summary(spark):
@@ -177,11 +210,11 @@ def test_normalize(spark):
     assert (b.bw_nvlink, b.disk_space, b.cpu_ram, b.end_date, b.gpu_name) == (0, 100, 0, 0, "")
 
 
-def test_quantiles_of_a_bad_estimate(spark):
-    """An accuracy of 1 makes brackets that miss; the answer stays exact."""
+def test_quantiles_with_many_ties(spark):
+    """Two values in a third of the rows each, few bits a round."""
     rnd = random.Random(9)
     xs = [rnd.choice([0.0, 1.0, rnd.gauss(0, 50)]) for _ in range(5000)]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
-    got = exact_quantiles(df, "v", [0.05, 0.5, 0.93], accuracy=1).first()
+    got = exact_quantiles(df, "v", [0.05, 0.5, 0.93], bits=11).first()
     assert [got.q0, got.q1, got.q2] == pytest.approx([linear_quantile(xs, q) for q in (0.05, 0.5, 0.93)])
     assert exact_quantiles(df.limit(0), "v", [0.5]).first().q0 is None
