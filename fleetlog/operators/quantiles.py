@@ -33,7 +33,7 @@ def with_key(df: DataFrame, value: str, name: str = "_key") -> DataFrame:
     size, near, share, x = F.col("_size"), F.col("_near"), F.col("_share"), F.col(value)
     steps = df.withColumn("_size", F.abs(x))
     # the power of two at or below, one off at most; subnormal numbers and infinity go their own way
-    steps = steps.withColumn("_near", F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.floor(F.log2(size)).cast("int"))))
+    steps = steps.withColumn("_near", F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.floor(F.log2(size)))))
     steps = steps.withColumn("_share", size / F.pow(F.lit(2.0), near))
     above = F.when(share < 1, 2 * share - 2).when(share >= 2, share / 2).otherwise(share - 1) * float(1 << FRACTION)
     infinite = F.lit(HIGHEST + 1024 << FRACTION)
@@ -41,7 +41,7 @@ def with_key(df: DataFrame, value: str, name: str = "_key") -> DataFrame:
         F.when(size == 0, F.lit(0))
         .when(size < NORMAL, (size / LEAST).cast("long"))
         .when(size == float("inf"), infinite)
-        .otherwise((near - LOWEST + 1).cast("long") * F.lit(1 << FRACTION) + above.cast("long"))
+        .otherwise((near - LOWEST + 1) * F.lit(1 << FRACTION) + above.cast("long"))
     )
     signed = F.when(F.isnan(x), infinite + 1).when(x < 0, -key).otherwise(key)
     return steps.withColumn(name, signed).drop("_size", "_near", "_share")
