@@ -229,6 +229,22 @@ def snapshot_diff(spark, sf):
     return profile.snapshot_diff(*_snapshots(spark, sf), "o_custkey")
 
 
+# The same orders with those of the last days priced anew.
+@query(
+    "snapshot_diff_digests",
+    """SELECT o_orderkey, 'band' AS column_name, CAST(CAST(trunc(o_totalprice / 50000) AS BIGINT) AS VARCHAR) AS left_value,
+              CAST(CAST(trunc(o_totalprice / 50000) AS BIGINT) + 1 AS VARCHAR) AS right_value
+       FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 3 DAY""",
+)
+def snapshot_diff_digests(spark, sf):
+    orders = a.table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_totalprice") / 50_000).cast("long").alias("band"), "o_orderdate",
+    )
+    late = F.col("o_orderdate") >= orders.select(F.max("o_orderdate") - F.expr("INTERVAL 3 DAY")).scalar()
+    newer = orders.withColumn("band", F.col("band") + F.when(late, 1).otherwise(0))
+    return profile.snapshot_diff(orders, newer, "o_orderkey", ["o_orderstatus", "o_orderpriority", "band"], buckets=65_536)
+
+
 @query("keys_only_left", f"WITH {_SNAPS} SELECT o_custkey FROM l WHERE o_custkey NOT IN (SELECT o_custkey FROM r)")
 def keys_only_left(spark, sf):
     return profile.keys_only_left(*_snapshots(spark, sf), "o_custkey")

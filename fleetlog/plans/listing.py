@@ -113,14 +113,43 @@ def table_timespan(spark, sf):
     return tables.first_last(a.observations(spark, sf), "ts").select("timespan")
 
 
-@query("storage_report")
+# Tables laid out as lines of text, so that the bytes of their files are known.
+_LINES = {
+    "events": ["event_id", "user_id", "event_type"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+_SIZES = "sizes AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS name, sum(strlen(concat_ws('|', {', '.join(cols)})) + 1)::BIGINT AS bytes FROM {t}" for t, cols in _LINES.items()
+) + ")"
+
+
+def _laid_out_report(spark, sf):
+    folder = new_run_dir(spark, "storage")
+    lines = [a.table(spark, sf, t).select(F.lit(t).alias("name"), F.concat_ws("|", *cols).alias("line")) for t, cols in _LINES.items()]
+    whole = lines[0].union(lines[1]).union(lines[2])
+    whole.write.partitionBy("name").option("compression", "none").text(folder)
+    return tables.storage_report(spark, folder, "name=([^/]+)/")
+
+
+@query(
+    "storage_report",
+    f"""WITH {_SIZES}, total AS (SELECT sum(bytes) AS total FROM sizes)
+    SELECT name, round(bytes / 1048576.0::DOUBLE, 2) AS size_mb, round(bytes * 100.0::DOUBLE / total, 2) AS percentage
+    FROM (SELECT * FROM sizes UNION ALL SELECT 'total', total FROM total), total""",
+)
 def storage_report(spark, sf):
-    return tables.storage_report(spark, sf, r"([^/]+)\.parquet")
+    return _laid_out_report(spark, sf).select("name", "size_mb", "percentage")
 
 
-@query("storage_growth")
+@query(
+    "storage_growth",
+    f"""WITH {_SIZES}, {OBS}, s AS (SELECT round(sum(bytes) / 1048576.0::DOUBLE, 2) AS size_mb FROM sizes),
+    d AS (SELECT (max(ts) - min(ts)) / 86400.0::DOUBLE AS days FROM obs)
+    SELECT size_mb, round(size_mb / days, 2) AS mb_per_day, round(size_mb / days * 365, 0) AS mb_per_year FROM s, d""",
+)
 def storage_growth(spark, sf):
-    return tables.growth(storage_report(spark, sf), tables.first_last(a.observations(spark, sf), "ts"))
+    return tables.growth(_laid_out_report(spark, sf), tables.first_last(a.observations(spark, sf), "ts"))
 
 
 # ---- normalisation, step by step ----------------------------------------------------------

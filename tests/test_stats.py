@@ -218,3 +218,28 @@ def test_quantiles_with_many_ties(spark):
     got = exact_quantiles(df, "v", [0.05, 0.5, 0.93], bits=11).first()
     assert [got.q0, got.q1, got.q2] == pytest.approx([linear_quantile(xs, q) for q in (0.05, 0.5, 0.93)])
     assert exact_quantiles(df.limit(0), "v", [0.5]).first().q0 is None
+
+
+def test_diff_by_digests(spark, tmp_path):
+    """Only rows of buckets that differ reach the join; nulls, swapped cells, repeated and lone rows are told apart."""
+    left = spark.range(20_000).select(F.col("id").alias("k"), F.lit("a").alias("s"), F.lit(None).cast("string").alias("t"))
+    new = {7: ("b", None), 8: (None, "a"), 19_999: ("a", "x")}
+    change = lambda c, i: F.when(F.col("k").isin(*new), F.create_map(*[F.lit(x) for k, v in new.items() for x in (k, v[i])])[F.col("k")]).otherwise(F.col(c))
+    right = left.select("k", change("s", 0).alias("s"), change("t", 1).alias("t"))
+    for name, df in (("l", left), ("r", right)):
+        df.write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / x)) for x in "lr")
+    want = rows(profile.snapshot_diff(left, right, "k"))
+    assert len(want) == 4
+    assert rows(profile.snapshot_diff(left, right, "k", buckets=4096)) == want
+    assert profile.differing_buckets(left, right, "k", ["s", "t"], 4096).count() == 3
+    assert profile.differing_buckets(left, left.repartition(3, "k"), "k", ["s", "t"], 16).count() == 0
+    twice = left.union(left.filter("k = 5"))
+    assert profile.differing_buckets(left, twice, "k", ["s"], 16).count() == 1
+    assert profile.differing_buckets(left, left.limit(0), "k", ["s"], 16).count() == 16
+    diff = profile.snapshot_diff(left, right, "k", buckets=4096)
+    plan = diff._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi, ") == 2 and "rightHint=(strategy=broadcast)" in plan
+    with pytest.raises(ValueError):
+        profile.snapshot_diff(left, right, "k", buckets=1 << 21)
+    assert rows(profile.snapshot_diff(left.limit(0), right, "k", buckets=16)) == []
