@@ -65,6 +65,37 @@ def character_classes() -> np.ndarray:
     return table
 
 
+# The settings of a tokenizer file that the transducer stands for.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MODEL = {"type": "BPE", "end_of_word_suffix": WORD_END}
+
+
+def read_settings(path: str) -> dict:
+    """A tokenizer file; a ValueError for one that counts in another way than the transducer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps_ = before.get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    spelled = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    other = {k for k, v in model.items() if k not in ("vocab", "merges", *MODEL) and v}
+    wrong = [name for name, ok in {
+        "normalizer": spec.get("normalizer") == NORMALIZER,
+        "pre_tokenizer": len(steps_) == 2 and steps_[0] == split and spelled.items() <= steps_[1].items(),
+        "model": all(model.get(k) == v for k, v in MODEL.items()) and not other,
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        "truncation": not spec.get("truncation"),
+        "vocab (a byte is missing)": all(c + end in model["vocab"] for c in byte_characters() for end in ("", WORD_END)),
+    }.items() if not ok]
+    if wrong:
+        raise ValueError(f"{path}: not the settings that tokens can be counted for: {', '.join(wrong)}")
+    return spec
+
+
 class TableFull(Exception):
     """A batch of texts needs more states than the table may hold."""
 
@@ -132,8 +163,7 @@ class Transducer:
     """Lazily compiled transitions of a word-level BPE tokenizer file."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_settings(path)
         self.words = WordCounts(spec["model"]["vocab"], spec["model"]["merges"])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -335,7 +365,11 @@ def transducer(path: str) -> Transducer:
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row. Null texts count as empty, ids may be null or repeat."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row. Null texts count as empty, ids may be null or repeat.
+
+    A tokenizer file with other settings than the transducer's is a ValueError.
+    """
+    read_settings(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = transducer(tokenizer)

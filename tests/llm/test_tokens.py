@@ -1,6 +1,7 @@
 """Token counts, shards, packing and byte-level BPE against the public libraries."""
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -84,6 +85,28 @@ def test_count_tokens(docs, rows, ids, no_docs):
     assert token_fst.count_tokens(no_docs, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("part,change", [
+    ("normalizer", lambda x: x.update(normalizer=None)),
+    ("normalizer", lambda x: x["normalizer"]["normalizers"].pop()),
+    ("pre_tokenizer", lambda x: x["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated")),
+    ("pre_tokenizer", lambda x: x["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True)),
+    ("model", lambda x: x["model"].update(ignore_merges=True)),
+    ("model", lambda x: x["model"].update(end_of_word_suffix=None)),
+    ("added_tokens", lambda x: x["added_tokens"][0].update(lstrip=True)),
+    ("truncation", lambda x: x.update(truncation={"max_length": 5})),
+    ("vocab", lambda x: x["model"]["vocab"].pop("a</w>")),
+])
+def test_other_settings_are_refused(spark, tmp_path, part, change):
+    """Before any task runs."""
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    change(spec)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match=part):
+        token_fst.count_tokens(spark.createDataFrame([], "doc_id long, text string"), str(path))
+    assert token_fst.read_settings(WORDS)["version"]
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 3, 10, 1000, 20_000):
         hashes = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
