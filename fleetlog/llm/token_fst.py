@@ -19,9 +19,9 @@ States are made when a text first needs them and kept in a dense table, emptied
 full. Texts are laid end to end and cut into chunks that all run in step, one column
 after the other. What a chunk does is a map from states to states: white space leads
 to the start state whatever came before, so the map of a chunk with white space is
-constant after it, and composing the maps in order (a prefix scan) takes running the
-head of a chunk, up to its white space, from where the chunk before ended. Chunks
-without any white space pass states on and are composed in rounds.
+constant after it, and only its head, up to the white space, needs to be run from where
+the chunk before ended. The maps of chunks without any white space are made for the
+states that can occur, in a few rounds for all chunks, and composed by a prefix scan.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ from fleetlog.llm.piece_bpe import byte_characters
 # Entries of the transition table per Python worker (4 bytes each); it starts afresh when full.
 TABLE_ENTRIES = 24_000_000
 CHUNK = 256
+# Rounds in which the maps of chunks are made for all states that the maps before them lead to.
+GUESSES = 8
 # Different signs that the table tells apart at a time.
 MAX_SYMBOLS = 4096
 WORD_END = "</w>"
@@ -339,25 +341,69 @@ class Transducer:
             found = self._advance(state, column)
             state = found >> 8
             changes[k] = (found & 255).astype(np.uint8).view(np.int8)
-        # heads, from where the chunk before ends; chunks without white space wait for theirs
+        # heads, from where the chunk before ends, up to the white space that closes a word
         passes = head == CHUNK
-        ready = 1 + np.flatnonzero(~passes[:-1])
-        while len(ready):
-            now, at = state[ready - 1], ready
-            for k in range(CHUNK):
-                going = k <= head[at]  # the white space itself closes the word
-                at, now = at[going & (k < CHUNK)], now[going & (k < CHUNK)]
-                if not len(at):
-                    break
-                found = self._advance(now, grid[k, at])
-                now = found >> 8
-                changes[k, at] = (found & 255).astype(np.uint8).view(np.int8)
-                done = passes[at] & (k == CHUNK - 1)
-                state[at[done]] = now[done]
-            after = ready[passes[ready]] + 1
-            ready = after[after < lanes]
+        at = np.arange(1, lanes)
+        now = self._beginnings(grid, state, passes)[1:]
+        for k in range(CHUNK):
+            going = k <= head[at]
+            at, now = at[going], now[going]
+            if not len(at):
+                break
+            found = self._advance(now, grid[k, at])
+            now = found >> 8
+            changes[k, at] = (found & 255).astype(np.uint8).view(np.int8)
         return changes.T.ravel()[:n]
 
+    def _beginnings(self, grid: np.ndarray, ends: np.ndarray, passes: np.ndarray) -> np.ndarray:
+        """State at the beginning of each chunk. ends: states at the ends of chunks with white space.
+
+        The maps of chunks without are known in part: pairs (chunk, state) as one number, in
+        order, and the state after the chunk. The first pairs have the start state, the next
+        ones the states to which those before lead, for all chunks at once, until nothing
+        is new. After `GUESSES` such rounds only states that do occur are followed.
+        """
+        lanes = len(passes)
+        begin = np.concatenate([[0], ends[:-1]])
+        inner = np.flatnonzero(passes)
+        heir = np.concatenate([[False], passes[:-1]])  # the chunk before passes states on
+        pairs, after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = inner << 32 | np.where(heir[inner], 0, begin[inner])
+        first = new[~heir[inner]]
+        rounds = 0
+        while len(new):
+            at, states = new >> 32, new & 0xFFFFFFFF
+            for k in range(CHUNK):
+                states = self._advance(states, grid[k, at]) >> 8
+            order = np.argsort(np.concatenate([pairs, new]), kind="stable")
+            pairs, after = np.concatenate([pairs, new])[order], np.concatenate([after, states])[order]
+            ahead = (pairs >> 32) + 1 << 32 | after
+            ahead = ahead[passes[ahead >> 32]]  # the last chunk of all has white space
+            new, rounds = np.setdiff1d(ahead, pairs), rounds + 1
+            if len(new) and rounds < GUESSES:
+                continue
+            known = _composed(pairs, after, first)
+            begin[(pairs[known] >> 32) + 1] = after[known]
+            new = np.intersect1d(new, (pairs[known] >> 32) + 1 << 32 | after[known])
+        return begin
+
+
+def _composed(pairs: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are reached from the first ones.
+
+    A scan: maps of 1, 2, 4, ... chunks are composed from two of half as many.
+    """
+    ahead = (pairs >> 32) + 1 << 32 | after
+    place = np.minimum(np.searchsorted(pairs, ahead), len(pairs) - 1)
+    leap = np.where(pairs[place] == ahead, place, -1)  # -1: the next map is not known there, or has no need to be
+    reached = np.searchsorted(pairs, first)
+    while True:
+        more = leap[reached]
+        more = np.union1d(reached, more[more >= 0])
+        if len(more) == len(reached):
+            return reached
+        reached, leap = more, np.where(leap >= 0, leap[leap], -1)
+
 
 @cache
 def transducer(path: str) -> Transducer:

@@ -78,6 +78,33 @@ def test_transducer_on_any_text(counter, library, texts):
         assert counter.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_long_texts_without_white_space(library):
+    """States that pass through many chunks: words, one letter, a period that keeps its phase, digits, signs."""
+    rng = np.random.default_rng(3)
+    words = "".join(rng.choice(["the", "ing", "a", "trans", "ducer", "'s", "7", "#", "é", "qx"], 20_000))
+    texts = [words, "a" * 5000, "ab" * 5001 + " x", "abc" * 3000 + "'", "=" * 7000, "1" * 3000, "x " + words[:3000], "日" * 2000]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    count = token_fst.Transducer(WORDS)
+    assert count.counts(texts).tolist() == want
+    assert [int(count.counts([t])[0]) for t in texts] == want
+
+
+def test_maps_of_chunks_are_composed():
+    """Pairs (chunk, state) as chunk << 32 | state; the chain from (1, 5) and what cannot be reached."""
+    at = lambda chunk, state: chunk << 32 | state
+    pairs = np.array([at(1, 0), at(1, 5), at(2, 0), at(2, 7), at(3, 0), at(3, 7), at(9, 2)])
+    after = np.array([7, 7, 7, 0, 1, 1, 1])
+    assert pairs[token_fst._composed(pairs, after, np.array([at(1, 5), at(9, 2)]))].tolist() == [at(1, 5), at(2, 7), at(3, 0), at(9, 2)]
+
+
+def test_few_guesses(library, monkeypatch):
+    monkeypatch.setattr(token_fst, "GUESSES", 1)
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefgh"), 6000))
+    assert token_fst.Transducer(WORDS).counts([text, "ab" * 2000]).tolist() == [
+        len(library.encode(t, add_special_tokens=False).ids) for t in (text, "ab" * 2000)]
+
+
 def test_count_tokens(docs, rows, ids, no_docs):
     found = token_fst.count_tokens(docs, WORDS, limit=100).collect()
     want = [(i, len((t or "").encode()), len(x), len(x) > 100) for (i, t), x in zip(rows, ids)]
