@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetlog.operators.sequence import (
     HOT_ROWS, SEGMENT, HotKeys, cut_segments, hot_keys, null_safe_on,
@@ -15,104 +13,109 @@ from fleetlog.operators.sequence import (
 from fleetlog.operators.timeline import drop_consecutives
 from fleetlog.session import new_run_dir
 
+# Rows that are put into one array.
+PIECE_ROWS = 16_384
+# Rounds in which pieces are run from all queues that the pieces before them may end with.
+GUESSES = 6
 
-def _fold(groups: list[str], value: str, start: str | None, maxlen: int) -> Callable:
-    """Run the queue over rows sorted by group; one result per group.
 
-    Holds one batch and one queue, however long a group is.
-    """
+def _after(values: Column, start: Column, maxlen: int) -> Column:
+    """The queue after an array of values."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, queue, fields = None, [], None
-        for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            types = [batch.schema.field(g).type for g in groups]
-            fields = pa.schema([*zip(groups, types), ("recent", pa.list_(batch.schema.field(value).type))])
-            starts = columns[start] if start else [()] * batch.num_rows
-            done = []
-            for group, v, first in zip(zip(*[columns[g] for g in groups]), columns[value], starts):
-                if group != current:
-                    if current is not None:
-                        done.append({**dict(zip(groups, current)), "recent": queue})
-                    current, queue = group, list(first)
-                if v not in queue:
-                    queue.append(v)
-                    if len(queue) > maxlen:
-                        del queue[0]
-            yield pa.RecordBatch.from_pylist(done, fields)
-        if current is not None:
-            yield pa.RecordBatch.from_pylist([{**dict(zip(groups, current)), "recent": queue}], fields)
-
-    return run
-
-
-def _run(rows: DataFrame, groups: list[str], value: str, order: Sequence[str], maxlen: int, start: str | None = None) -> DataFrame:
-    """Queues per group; rows of a group meet in one task, sorted, and stream through it."""
-    schema = T.StructType(
-        [T.StructField(g, rows.schema[g].dataType) for g in groups]
-        + [T.StructField("recent", T.ArrayType(rows.schema[value].dataType))]
-    )
-    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
-    return ordered.select(*groups, value, *([start] if start else [])).mapInArrow(
-        _fold(groups, value, start, maxlen), schema
-    )
+    def put(queue: Column, x: Column) -> Column:
+        grown = F.concat(queue, F.array(x))
+        left = F.slice(grown, F.greatest(F.lit(1), F.size(grown) - maxlen + 1), maxlen)
+        return F.when(F.exists(queue, lambda y: y.eqNullSafe(x)), queue).otherwise(left)
+
+    return F.aggregate(values, start, put)
+
+
+def _in_order(order: Sequence[str], value: str) -> Column:
+    """Values of a group as one array."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value")))), lambda x: x["_value"])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = new_run_dir(df.sparkSession, "recent")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _few_values(firsts: DataFrame, sizes: DataFrame, key: str, value: str, maxlen: int) -> DataFrame:
-    """Queues of keys that never overflow: their values in the order in which they came up."""
-    few = sizes.filter(F.col("_n") <= maxlen)
-    rows = firsts.join(few, firsts[key].eqNullSafe(few["_k"])).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_first", value))).alias("_seen")
+def _joined(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner") -> DataFrame:
+    """Null-safe join; columns of the right side that are joined on go."""
+    side = right.withColumnsRenamed({r: f"_right{r}" for r in pairs.values()})
+    names = [f"_right{r}" for r in pairs.values()]
+    on = null_safe_on([left[c] for c in pairs], [side[n] for n in names])
+    return left.join(side, on, how).drop(*names)
+
+
+def _pieces(rows: DataFrame, hot: HotKeys, key: str, value: str, order: Sequence[str], piece_rows: int) -> DataFrame:
+    """Rows of a key in arrays: key, segment, number of the piece in it, values."""
+    segment = F.lit(0).cast("long")
+    cut = cut_segments(rows, hot, [key], order[0], "left") if hot.levels else rows.withColumn(SEGMENT, segment)
+    number = F.row_number().over(Window.partitionBy(key, SEGMENT).orderBy(*order)) - 1
+    piece = F.floor(F.col("_number") / piece_rows)
+    return cut.withColumn("_number", number).groupBy(key, SEGMENT, piece.alias("_piece")).agg(
+        _in_order(["_number"], value).alias("_values")
     )
-    return rows.select(key, F.transform("_seen", lambda x: x[value]).alias("recent"))
 
 
-def _run_hot(
-    rows: DataFrame, hot: HotKeys, key: str, value: str, order: Sequence[str], maxlen: int
-) -> DataFrame:
-    """Queues of hot keys, segment by segment in parallel.
-
-    The queue a segment starts from is not known before the segment in front of it is
-    done. Keys that have no more values than the queue holds need no queue at all. The
-    segments of the others first start empty; then each one whose start turns out to differ
-    from the end of its predecessor is run again, until none is left. The first segment
-    of a key is right from the outset and each round settles at least one more, so the
-    end is exact; queues that forget their start settle in two or three rounds. Starts
-    and ends are one small queue per segment, of which there is a fixed maximum.
-    """
-    spark = rows.sparkSession
-    path = new_run_dir(spark, "recent")
-    cut_segments(rows, hot, [key], order[0], "inner").write.parquet(path)
-    stored = spark.read.parquet(path)
-    firsts = stored.groupBy(key, value).agg(F.min(F.struct(*order)).alias("_first"))
-    sizes = firsts.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    few = _few_values(firsts, sizes, key, value, maxlen)
-    many = sizes.filter(F.col("_n") > maxlen)
-    stored = stored.join(many, stored[key].eqNullSafe(many["_k"]), "left_semi")
-    queue = T.ArrayType(rows.schema[value].dataType)
-    start_schema = T.StructType(
-        [T.StructField("_k", rows.schema[key].dataType), T.StructField("_s", T.LongType()), T.StructField("_start", queue)]
+def _places(pieces: DataFrame, key: str) -> DataFrame:
+    """Place of each piece in the order of its key's, and their number; only segments are ordered."""
+    segments = pieces.groupBy(key, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = segments.select(
+        key, SEGMENT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(key)).alias("_last"),
     )
-    ends = {
-        (r[key], r[SEGMENT]): list(r["recent"])
-        for r in _run(stored, [key, SEGMENT], value, order, maxlen).collect()
-    }
-    chain = sorted(ends, key=lambda g: (g[0] is not None, 0 if g[0] is None else g[0], g[1]))
-    used = {g: [] for g in chain}
+    placed = _joined(pieces.select(key, SEGMENT, "_piece"), offsets, {key: key, SEGMENT: SEGMENT})
+    return placed.select(key, SEGMENT, "_piece", (F.col("_before") + F.col("_piece")).alias("_at"), "_last")
+
+
+def _composed(known: DataFrame, key: str, pieces: int) -> DataFrame:
+    """Where the first pieces lead (key, place, queue): maps of 1, 2, 4, ... pieces from two of half as many."""
+    now = known.select(key, "_at", "_start", (F.col("_at") + 1).alias("_to_at"), F.col("_end").alias("_to"))
+    for _ in range((pieces - 1).bit_length()):
+        further = now.select(key, "_at", "_start", F.col("_to_at").alias("_far_at"), F.col("_to").alias("_far"))
+        both = _joined(now, further, {key: key, "_to_at": "_at", "_to": "_start"}, "left")
+        now = _stored(both.select(
+            key, "_at", "_start", F.coalesce("_far_at", "_to_at").alias("_to_at"), F.coalesce("_far", "_to").alias("_to")
+        ))
+    return now.filter("_at = 0 AND size(_start) = 0").select(key, F.col("_to_at").alias("_at"), F.col("_to").alias("_start"))
+
+
+def _by_pieces(pieces: DataFrame, key: str, empty: Column, maxlen: int, guesses: int) -> DataFrame:
+    """Queues of keys in several pieces.
+
+    What a piece does to a queue is known for some starting queues: first the empty one,
+    then those that the piece before it may end with, for all pieces at once, until
+    nothing is new. A queue that is full of values of one piece no longer depends on its start,
+    so two or three rounds are usual. The maps are then composed in log2(pieces) rounds.
+    Where a start still has an effect after `guesses` rounds, only queues that do occur
+    are followed, a piece a round at least.
+    """
+    pieces = _stored(pieces)
+    places = _stored(_places(pieces, key))
+    most = places.agg(F.max("_last")).first()[0]
+    if most is None:
+        return pieces.select(key, empty.alias("recent"))
+    wanted, known, rounds = places.select(key, "_at", empty.alias("_start")), None, 0
     while True:
-        wanted = {b: ends[a] for a, b in zip(chain, chain[1:]) if a[0] == b[0]}
-        again = [(g[0], g[1], q) for g, q in wanted.items() if used[g] != q]
-        if not again:
-            break
-        used.update({(k, s): q for k, s, q in again})
-        side = F.broadcast(spark.createDataFrame(again, start_schema))
-        on = null_safe_on([stored[key], stored[SEGMENT]], [side["_k"], side["_s"]])
-        todo = stored.join(side, on).drop("_k", "_s")
-        for r in _run(todo, [key, SEGMENT], value, order, maxlen, "_start").collect():
-            ends[(r[key], r[SEGMENT])] = list(r["recent"])
-    last = {k: ends[(k, s)] for k, s in chain}
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("recent", queue)])
-    return spark.createDataFrame(list(last.items()), schema).unionByName(few)
+        named = _joined(wanted, places.drop("_last"), {key: key, "_at": "_at"})
+        started = _joined(pieces, named, {key: key, SEGMENT: SEGMENT, "_piece": "_piece"})
+        ran = _stored(started.select(key, "_at", "_start", _after(F.col("_values"), F.col("_start"), maxlen).alias("_end")))
+        known = known.union(ran) if known else ran
+        rounds += 1
+        if rounds < guesses and most > 1:
+            ahead = ran.select(key, (F.col("_at") + 1).alias("_at"), F.col("_end").alias("_start")).distinct()
+            ahead = _joined(ahead, places, {key: key, "_at": "_at"}, "left_semi")
+            wanted = _stored(_joined(ahead, known, {key: key, "_at": "_at", "_start": "_start"}, "left_anti"))
+            if not wanted.isEmpty():
+                continue
+        reached = _stored(_composed(known, key, most))
+        wanted = _joined(reached, places, {key: key, "_at": "_at"}, "left_semi")
+        if most == 1 or wanted.isEmpty():
+            return reached.select(key, F.col("_start").alias("recent"))
 
 
 def recent_distinct(
@@ -123,19 +126,34 @@ def recent_distinct(
     maxlen: int,
     hot_rows: int = HOT_ROWS,
     hot: HotKeys | None = None,
+    piece_rows: int = PIECE_ROWS,
+    guesses: int = GUESSES,
 ) -> DataFrame:
     """Queue (oldest first) after all values of a key in order.
 
     A value not in the queue is appended; above maxlen the oldest leaves and may
-    come back later. Repeats in a row change nothing and are dropped first.
+    come back later. Repeats in a row change nothing and are dropped first. Null is a
+    value like others. order ends with a column that tells rows of one time apart.
+
+    Keys of up to piece_rows rows (hot_rows, if fewer) are one array each. If there are larger ones, keys with
+    no more values than the queue holds need their first sightings only, and the
+    rows of the others are cut into pieces.
     """
     src = df.select(*dict.fromkeys([key, value, *order]))
+    kind = f"array<{src.schema[value].dataType.simpleString()}>"
+    empty = F.array().cast(kind)
+    most = src.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= min(piece_rows, hot_rows):
+        rows = drop_consecutives(src, [key], [value], order, hot_rows, HotKeys())
+        return rows.groupBy(key).agg(_in_order(order, value).alias("_values")).select(
+            key, _after(F.col("_values"), empty, maxlen).alias("recent")
+        )
+    firsts = src.groupBy(key, value).agg(F.min(F.struct(*order)).alias("_first"))
+    sizes = _stored(firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    few = _joined(firsts, sizes.filter(F.col("_n") <= maxlen).select(key), {key: key}, "left_semi")
+    few = few.groupBy(key).agg(_in_order(["_first"], value).alias("recent"))
+    many = _joined(src, sizes.filter(F.col("_n") > maxlen).select(key), {key: key}, "left_semi")
     hot = hot or hot_keys(src, [key], order[0], hot_rows)
-    rows = drop_consecutives(src, [key], [value], order, hot_rows, hot)
-    if not hot.levels:
-        return _run(rows, [key], value, order, maxlen)
-    is_hot = null_safe_on([rows[key]], [hot.levels[0][f"_hot_{key}"]])
-    cold = rows.join(F.broadcast(hot.levels[0]), is_hot, "left_anti")
-    return _run(cold, [key], value, order, maxlen).unionByName(
-        _run_hot(rows, hot, key, value, order, maxlen)
-    )
+    rows = drop_consecutives(many, [key], [value], order, hot_rows, hot)
+    pieces = _pieces(rows, hot, key, value, order, piece_rows)
+    return _by_pieces(pieces, key, empty, maxlen, guesses).unionByName(few)

@@ -143,6 +143,31 @@ def test_recent_distinct_of_cut_keys(spark):
             assert got == want
 
 
+def test_recent_distinct_in_pieces(spark):
+    """Pieces of a few rows within segments and without; starts that matter for long are followed one by one."""
+    rnd = random.Random(12)
+    seqs = {
+        "random": [rnd.randrange(8) for _ in range(45)],
+        "slow": [x for i in range(15) for x in (i // 3, i // 3 + 1, i // 3)],
+        "cycle": [i % 5 for i in range(40)],
+        None: [rnd.choice([None, 1, 2, 3, 4]) for _ in range(30)],
+        "short": [1, 2, 3, 4, 1],
+    }
+    df = spark.createDataFrame([(k, v, t) for k, s in seqs.items() for t, v in enumerate(s)], "k string, v long, ts long")
+    want = {k: fold(s, 3) for k, s in seqs.items()}
+    for options in ({"piece_rows": 12, "guesses": 1}, {"piece_rows": 6, "hot_rows": 35}):
+        found = recent_distinct(df, "k", "v", ["ts"], 3, **options)
+        assert {r.k: list(r.recent) for r in found.collect()} == want
+
+
+def test_recent_distinct_stays_in_the_engine(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "k long, v long, ts long")
+    plans = [recent_distinct(df, "k", "v", ["ts"], 2, **o)._jdf.queryExecution().toString() for o in ({}, {"hot_rows": 0})]
+    assert all("Arrow" not in p and "Python" not in p for p in plans)
+    none = recent_distinct(df.limit(0), "k", "v", ["ts"], 2)
+    assert none.count() == 0 and [f.name for f in none.schema] == ["k", "recent"]
+
+
 # ---- hot keys ---------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def skewed(spark):
