@@ -139,26 +139,29 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[dict[tuple[int, int], np.ndarray]]:
+    """Distinct sets of some texts at a time, by their whole ids."""
+    sets: dict[tuple[int, int], np.ndarray] = {}
+    room = MERGE_BYTES
+    for batch in steps(batches):
+        texts = batch.column("text").to_pylist()
+        sets.update((_set_ids(x), x) for x in shingles(texts, width) if len(x))
+        room -= sum(map(len, texts))
+        if room <= 0 and sets:
+            yield sets
+            sets, room = {}, MERGE_BYTES
+    if sets:
+        yield sets
+
+
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """sig, s1. Sets of a batch that share a signature give one row for it and a two-member group of their own."""
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
-        sets: dict[int, np.ndarray] = {}
-        room = MERGE_BYTES
-        for batch in steps(batches):
-            texts = batch.column("text").to_pylist()
-            sets.update((_set_ids(x)[0], x) for x in shingles(texts, width) if len(x))
-            room -= sum(map(len, texts))
-            if room <= 0 and sets:
-                yield sets
-                sets, room = {}, MERGE_BYTES
-        if sets:
-            yield sets
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in gathered(batches):
+        for sets in _gathered(batches, width):
             sig, owner = signatures(list(sets.values()), percent)
-            owner = np.array(list(sets), np.int64)[owner]
+            # sets with one s1 are one node of the families, with the signatures of all of them
+            owner = np.array([s1 for s1, _ in sets], np.int64)[owner]
             order = np.argsort(sig, kind="stable")
             sig, owner = sig[order], owner[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])

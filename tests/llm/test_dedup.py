@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from fleetlog.llm import line_dedup, part_enum, suffix_dedup
@@ -59,6 +60,15 @@ def test_signatures_meet():
                     assert set(sig[owner == 0]) & set(sig[owner == 1]), (size, percent)
 
 
+def test_sets_with_half_an_id_in_common(monkeypatch):
+    whole = part_enum._set_ids
+    monkeypatch.setattr(part_enum, "_set_ids", lambda x: (7, whole(x)[1]))
+    texts = ["a b c d", "e f g h", "a b c d", "", "i j"]
+    found = list(part_enum._gathered(iter([pa.RecordBatch.from_pydict({"text": texts})]), 3))
+    assert [len(x) for x in found] == [3]
+    assert sorted(len(x) for x in found[0].values()) == [1, 2, 2]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
