@@ -121,11 +121,17 @@ def child_set_snapshot(
 
     Children that vanished from a parent present in the poll are removed; children
     are added only to parents that have none left.
+
+    A child the poll lists stays, any other one stays if its parent is not in the poll.
+    The rows of a side are matched with the distinct keys of the other, so that no task
+    orders keys that repeat.
     """
-    listed = match_keys(state, [parent], "left_semi", poll)
-    absent = match_keys(state, [parent], "left_anti", poll)
-    kept = absent.unionByName(match_keys(listed, [child], "left_semi", poll))
-    added = match_keys(poll, [parent], "left_anti", kept).select(*state.columns)
+    children, parents = poll.select(child).distinct(), poll.select(parent).distinct()
+    listed = match_keys(state, [child], "left_semi", children)
+    missing = match_keys(state, [child], "left_anti", children)
+    kept = listed.unionByName(match_keys(missing, [parent], "left_anti", parents))
+    # of parents in the poll, those with a listed child are the ones that have some left
+    added = match_keys(poll, [parent], "left_anti", listed.select(parent).distinct()).select(*state.columns)
     return kept.unionByName(added)
 
 

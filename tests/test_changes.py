@@ -114,6 +114,34 @@ def test_child_set_snapshot(spark):
     assert rows(changes.child_set_snapshot(snap, gone, "machine", "id")) == [(8, 5), (9, 3), (9, 4)]
 
 
+def test_child_set_snapshot_with_nulls_and_repeats(spark):
+    """Rows may repeat and keys may be null; a null parent or child is one like any other."""
+    rng, s = random.Random(5), "machine long, id long"
+    for n in (0, 4, 12, 40):
+        some = lambda: [(rng.choice([None, *range(6)]), rng.choice([None, *range(9)])) for _ in range(n)]
+        snap, poll = some(), some()
+        parents, listed = {p for p, _ in poll}, {c for _, c in poll}
+        kept = [r for r in snap if r[0] not in parents or r[1] in listed]
+        want = kept + [r for r in poll if r[0] not in {p for p, _ in kept}]
+        got = rows(changes.child_set_snapshot(frame(spark, snap, s), frame(spark, poll, s), "machine", "id"))
+        assert got == sorted(want, key=lambda r: [(x is not None, x) for x in r])
+
+
+def test_plan_of_a_child_set_snapshot(spark):
+    """Every join sees the keys of its other side once, not once per row: that side is what tasks hold and order."""
+    s = "machine long, id long"
+    snap, poll = frame(spark, [(9, 1), (8, 5)], s), frame(spark, [(9, 2), (7, 6)], s)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = changes.child_set_snapshot(snap, poll, "machine", "id")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = plan[plan.index("== Physical Plan =="):]
+    assert plan.count("SortMergeJoin") == 5
+    assert plan.count("HashAggregate") == 2 * 5  # distinct within tasks, then by key
+
+
 def test_change_counts(spark):
     a = frame(spark, [(1,), (2,)], "x long")
     got = rows(changes.change_counts({"a": a, "b": a.filter("x > 5")}))
