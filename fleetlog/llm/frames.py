@@ -15,6 +15,8 @@ from fleetlog.session import configure, new_run_dir
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Rows of an Arrow batch. Documents are of very different lengths, so batches are kept short.
 BATCH_ROWS = 512
+# Shuffle files of a write are removed when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of text that one step inside a task works on.
 STEP_BYTES = 4 << 20
 
@@ -69,7 +71,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    What was shuffled for it goes from the disks at once, not when the driver happens to
+    collect its garbage.
+    """
     path = new_run_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

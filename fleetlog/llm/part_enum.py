@@ -12,9 +12,13 @@ There are some groups more than needed; a set with that many groups or fewer in
 a signature is empty leaves those out, as another one must do.
 
 Equal sets are one class. Classes that share signatures form families, found as
-connected components; all links lie within families. A family is compared in one
-task up to `FAMILY_SHINGLES`, a larger one in blocks, each pair of blocks in a task of
-its own: an exact prefix filter over the rarest shingles, then the exact intersection.
+connected components; all links lie within families. Sets that quote each other without
+being similar make families that grow with the corpus, so families of more than two
+sets are taken apart by a prefix filter: the shingles of a family are ordered by the
+number of its sets that have them, and linked sets share one of the first of their own.
+What is left is compared in one task up to `FAMILY_SHINGLES`, a larger family in blocks,
+each pair of blocks in a task of its own: the same filter again, then the exact
+intersection.
 
 Within a task equal signatures are merged before they are shuffled, so a signature
 that a third of all documents have costs a row per batch of documents.
@@ -27,7 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlog.llm.components import components
@@ -202,6 +206,44 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")
 
 
+def _shingle_rows(near: DataFrame, width: int) -> DataFrame:
+    """sig, s1, need: a row for each shingle of each set; sig stands for the shingle within the family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sets = shingles(batch.column("text").to_pylist(), width)
+            sizes = [len(x) for x in sets]
+            family = mix(batch.column("family").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mix(np.concatenate(sets) + np.repeat(family, sizes)).view(np.int64)),
+                    pa.array(np.repeat(batch.column("s1").to_numpy(), sizes)),
+                    pa.array(np.repeat(batch.column("need").to_numpy(), sizes)),
+                ],
+                names=["sig", "s1", "need"],
+            )
+
+    return near.select("text", "family", "s1", "need").mapInArrow(run, "sig long, s1 long, need long")
+
+
+def _taken_apart(near: DataFrame, width: int, percent: int) -> DataFrame:
+    """s1, family: smaller families that still hold all links; sets that cannot have any are in none.
+
+    The shingles of a family are ordered by the number of its sets that have them. A set
+    has at least `need` shingles in common with one it is linked to, so all but the last
+    need - 1 of its own hold one that both have. Those that no other set has lead the
+    order and are of no use.
+    """
+    shared = (
+        _shingle_rows(near, width)
+        .withColumn("n_sets", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+        .filter("n_sets > 1")
+        .withColumn("from_last", F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("n_sets"), F.desc("sig"))))
+    )
+    edges = _neighbours(shared.filter("from_last >= need").select("sig", "s1"))
+    return components(edges).select(F.col("node").alias("s1"), F.col("component").alias("family"))
+
+
 def links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what is linked: pairs (i, j) of sets, a spanning forest of their graph.
 
@@ -291,24 +333,35 @@ def similar_documents(
     )
     edges = _neighbours(_signature_rows(docs, width, percent))
     family = components(edges).select(F.col("node").alias("s1"), F.col("component").alias("family"))
-    in_family = written(classes.join(family, "s1"), "families")
+    # sets with one s1 are one node: whatever one of them has in common with others counts
+    alike = F.count(F.lit(1)).over(Window.partitionBy("s1"))
+    need = F.when(alike > 1, F.lit(0)).otherwise(F.expr(f"(n_shingles * {percent} + 99) div 100")).cast("long")
+    in_family = written(classes.join(family, "s1").withColumn("need", need), "families")
+    members = in_family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
 
-    weight = in_family.groupBy("family").agg(F.ceil(F.sum("n_shingles") / family_shingles).cast("int").alias("blocks"))
+    # the text of one document of each class, by its id; its set tells it from others of that id
+    texts = docs.withColumn("text_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("text_id", "text")
+    wanted = in_family.select("text_id").distinct().hint("merge")  # grows with the corpus: never broadcast
+    found = _with_set(texts.join(wanted, "text_id"), width)
+    near = written(found.join(in_family.join(members, "family").drop("text_id", "low_id"), ["s1", "s2"]), "near")
+    apart = _taken_apart(near.filter("members > 2"), width, percent)
+    pairs = near.filter("members <= 2").select("s1", "family").distinct()
+    smaller = written(near.select("s1", "s2", "n_shingles").join(apart.union(pairs), "s1"), "families")
+
+    weight = smaller.groupBy("family").agg(F.ceil(F.sum("n_shingles") / family_shingles).cast("int").alias("blocks"))
     placed = (
-        in_family.join(weight, "family")
+        smaller.join(weight, "family")
         .withColumn("block", F.pmod("s2", "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "s1", "s2", "text_id", "family",
+            "s1", "s2", "family",
             F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("pair"),
             (F.col("block") > F.col("other")).cast("int").alias("side"),
         )
     )
-    # the text of one document of each class, by its id; its set tells it from others of that id
-    texts = docs.withColumn("text_id", F.coalesce("doc_id", F.lit(-(2**63)))).select("text_id", "text")
-    wanted = in_family.select("text_id").distinct().hint("merge")  # grows with the corpus: never broadcast
-    near = _with_set(texts.join(wanted, "text_id"), width)
-    sides = placed.join(near, ["s1", "s2"]).select("family", "pair", "side", _class_name().alias("rep"), "text")
+    sides = placed.join(near.select("s1", "s2", "text"), ["s1", "s2"]).select(
+        "family", "pair", "side", _class_name().alias("rep"), "text"
+    )
     joined = components(_verified(sides, width, percent)).select(F.col("node").alias("rep"), "component")
 
     keyed = classes.withColumn("rep", _class_name())

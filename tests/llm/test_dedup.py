@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import plain
 import pyarrow as pa
 import pytest
 
-from fleetlog.llm import line_dedup, part_enum, suffix_dedup
+from fleetlog.llm import frames, line_dedup, part_enum, suffix_dedup
 from fleetlog.llm.components import components
 from fleetlog.llm.suffix_sort import suffix_array
 
@@ -44,6 +45,40 @@ def test_similar_documents(docs, rows, width, percent, family):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, plain.components(rows, width, percent)))
 
 
+def test_texts_that_quote_are_taken_apart(spark, monkeypatch):
+    """One long passage makes a single family of all texts; only what may be linked is compared, and once."""
+    compared = []
+
+    def watched(families, *args, whole=part_enum._verified):
+        compared.append(families.count())
+        return whole(families, *args)
+
+    monkeypatch.setattr(part_enum, "_verified", watched)
+    passage = " ".join(f"said{k}" for k in range(36))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(14))) for i in range(120)]
+    rows += [(200 + i, rows[i][1].replace(f"own{i}x0", "changed")) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = part_enum.similar_documents(frame, 5, 80, family_shingles=500).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, plain.components(rows, 5, 80)))
+    assert sum(r.doc_id != r.component_id for r in found) == 3
+    assert 6 <= compared[0] <= len(rows)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    frames.prepare(spark)
+    before = files()
+    left = frames.written(spark.range(1000).repartition(4, "id"), "shuffled")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert left.count() == 1000
+
+
 def test_signatures_meet():
     """Sets that are just similar enough share a signature, whatever their size."""
     rng = np.random.default_rng(5)
